@@ -71,28 +71,56 @@ def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def apart(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes with one line feed after each document, and where each document starts then."""
+    docs = len(ends) - 1
+    at = ends + np.arange(docs + 1)
+    out = np.full(len(raw) + docs, 10, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at[1:] - 1] = False
+    out[own] = LOWER[raw]
+    return out, at
+
+
 class Words:
     """The words of a slice, copied into one buffer with one blank after each.
 
     `text` is that buffer, word i stands at text[start[i]:end[i]], and the words of
-    document d are number[d] up to number[d + 1].
+    document d are number[d] up to number[d + 1]. `line[i]` is the number of line
+    feeds before word i in the slice, counting one after each document.
     """
 
-    def __init__(self, raw: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> None:
-        low = LOWER[raw]
-        begin, stop = runs(kind[low], ends)
-        length = stop - begin
-        self.begin = begin
-        self.end = np.cumsum(length + 1) - 1
-        self.start = self.end - length
-        self.number = np.searchsorted(begin, ends).astype(np.int64)
-        self.text = np.full(int(self.end[-1]) + 1 if len(begin) else 0, 32, np.uint8)
-        if len(begin):
-            self.text[spread(self.start, length)] = low[spread(begin, length)]
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, kind: np.ndarray, lines: bool = False) -> None:
+        low, at = apart(raw, ends)
+        inside = kind[low]
+        edge = np.empty(len(low), bool)
+        if len(low):
+            edge[0] = inside[0]
+            np.greater(inside[1:], inside[:-1], out=edge[1:])
+        begin = np.flatnonzero(edge)
+        if len(low):
+            edge[0] = False
+            np.less(inside[1:], inside[:-1], out=edge[1:])
+        stop = np.flatnonzero(edge)
+        self.number = np.searchsorted(begin, at).astype(np.int64)
+        if lines:
+            feeds = np.flatnonzero(low == 10)
+            self.line = np.searchsorted(feeds, begin)
+            self.first_line = np.searchsorted(feeds, at)
+        low[stop] = 32
+        inside[stop] = True
+        self.text = low[inside]
+        self.end = np.cumsum(stop - begin + 1) - 1
+        self.start = self.end - (stop - begin)
+        self.begin = begin - np.repeat(np.arange(len(at) - 1), np.diff(self.number))  # in the slice's own bytes
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def document(self) -> np.ndarray:
+        """The document of each word."""
+        return np.repeat(np.arange(len(self.number) - 1, dtype=np.int32), np.diff(self.number))
+
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All indices start[i] .. start[i] + length[i] - 1, one run after another."""
@@ -140,6 +168,47 @@ class SpanHash:
         return h
 
 
+class TextSet:
+    """Distinct texts, found by hash and confirmed byte by byte."""
+
+    BITS = 20
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.size = len(texts)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.text = np.frombuffer(b"".join(texts), np.uint8)
+        self.start = np.cumsum(length) - length
+        self.length = length
+        hashed = SpanHash(self.text)(self.start, self.start + length)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        left = np.arange(len(texts))
+        while len(left):  # a second table only if two of the texts share a hash
+            keys, first = np.unique(hashed[left], return_index=True)
+            self.tables.append((keys, left[first]))
+            left = np.delete(left, first)
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[hashed >> np.uint64(64 - self.BITS)] = True
+
+    def find(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the spans are in the set, ascending; which text each of them is)."""
+        maybe = np.flatnonzero(self.seen[hashed >> np.uint64(64 - self.BITS)])
+        at, which = [], []
+        for keys, index in self.tables:
+            place = np.minimum(np.searchsorted(keys, hashed[maybe]), len(keys) - 1)
+            hit = keys[place] == hashed[maybe]
+            spot, own = maybe[hit], index[place[hit]]
+            same = end[spot] - start[spot] == self.length[own]
+            spot, own = spot[same], own[same]
+            same = same_spans(text, start[spot], self.text, self.start[own], self.length[own])
+            at.append(spot[same])
+            which.append(own[same])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, which = np.concatenate(at), np.concatenate(which)
+        order = np.argsort(at, kind="stable")
+        return at[order], which[order]
+
+
 def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray, step: int = 1 << 22) -> np.ndarray:
     """Whether a[a_start[i]:][:length[i]] equals b[b_start[i]:][:length[i]], byte by byte."""
     out = np.ones(len(length), bool)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import packing, token_archive
+from pyspark.sql import functions as F
+
+from tidewheel.llm import decontaminate, licenses, oracle, packing, token_archive
 from tidewheel.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,12 +24,35 @@ def op3_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("matches").cast("long").alias("n_blocks"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return scanned.select(
+        "doc_id",
+        F.col("hit.n_words").alias("n_words"),
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("hit.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("hit.items"), ","), 256).alias("items_sha256"),
+        (F.size("hit.spans") > 0).alias("contaminated"),
+    )
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_archive": op3_token_archive,
+    "op4_license_join": op4_license_join,
+    "op7_decontamination": op7_decontamination,
     "op9_harmonic_packing": op9_harmonic_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_license_join": oracle.OP4,
+    "op7_decontamination": oracle.OP7,
+}
