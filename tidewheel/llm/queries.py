@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, oracle, packing, token_archive
+from tidewheel.llm import decontaminate, licenses, oracle, packing, simhash, token_archive
 from tidewheel.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,6 +51,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_token_archive": op3_token_archive,
     "op4_license_join": op4_license_join,
     "op7_decontamination": op7_decontamination,
