@@ -71,14 +71,14 @@ def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def apart(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased bytes with one line feed after each document, and where each document starts then."""
+def apart(raw: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The (lower-cased) bytes with one line feed after each document, and where each document starts then."""
     docs = len(ends) - 1
     at = ends + np.arange(docs + 1)
     out = np.full(len(raw) + docs, 10, np.uint8)
     own = np.ones(len(out), bool)
     own[at[1:] - 1] = False
-    out[own] = LOWER[raw]
+    out[own] = LOWER[raw] if lower else raw
     return out, at
 
 

@@ -7,6 +7,24 @@ from tidewheel.llm.licenses import PHRASES, TEMPLATES
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+OP1 = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM l),
+p AS (SELECT doc_id, l, n, unnest(range(1, len(l) + 1)) AS i FROM n),
+run AS (
+  SELECT doc_id, l, i, list_filter(range(i, len(l) + 1), lambda e: list_sum(n[i:e]) >= 10)[1] AS e FROM p
+  UNION
+  SELECT doc_id, l, list_filter(range(1, i + 1), lambda s: list_sum(n[s:i]) >= 10)[-1] AS i, i AS e FROM p
+),
+named AS (SELECT doc_id, i, e, array_to_string(l[i:e], chr(10)) AS lines, e - i AS size FROM run WHERE i IS NOT NULL AND e IS NOT NULL),
+later AS (SELECT doc_id, i, e FROM (SELECT *, row_number() OVER (PARTITION BY lines, size ORDER BY doc_id, i) AS k FROM named) WHERE k > 1),
+gone AS (SELECT doc_id, list_sort(list(DISTINCT line)) AS gone FROM (SELECT doc_id, unnest(range(i, e + 1)) AS line FROM later) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  coalesce(array_to_string(list_transform(gone, lambda x: x - 1), ','), '') AS removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda x: gone IS NULL OR NOT list_contains(gone, x)), lambda x: l[x]), chr(10)), '')) AS text_sha256
+FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
 OP7 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
 it AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM benchmark),

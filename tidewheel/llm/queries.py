@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, oracle, packing, simhash, token_archive
+from tidewheel.llm import decontaminate, licenses, line_dedup, oracle, packing, simhash, token_archive
 from tidewheel.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup(docs, lines_col="n_lines")
+    return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_token_archive": op3_token_archive,
     "op4_license_join": op4_license_join,
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_harmonic_packing": op9_harmonic_packing,
 }
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": oracle.OP1,
     "op4_license_join": oracle.OP4,
     "op7_decontamination": oracle.OP7,
 }
