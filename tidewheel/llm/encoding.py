@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ SIGN &= ~LETTER
 #: Chunks of more bytes are encoded anew each time; more chunks than this empty the cache.
 CACHED_BYTES, CACHED_CHUNKS = 40, 500_000
 
+#: Text to encode at once: the more, the fewer chunks are looked up.
+ENCODE_BYTES = 8 << 20
+
 
 class Encoder:
     """Encodes documents that lie side by side in one buffer."""
@@ -44,25 +48,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.sign = SIGN.copy()
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # a chunk's border must not cut one
+            content = np.frombuffer(token.content.encode(), np.uint8)
+            if BLANK[content].any():
+                raise ValueError("added tokens with white space are not supported")
+            self.sign[content[1:][LETTER[content[:-1]]]] = False
+        # the byte-level alphabet: how a pre-token's bytes are spelt; visible Latin-1 bytes are themselves, the others U+0100 and on
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.spelling = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in visible)}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.entries = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros((1 << 14) + 1, np.int64)
 
-    def _add(self, chunks: list[bytes]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks], add_special_tokens=False)]
+    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
+        """A chunk that is one Latin word, with a blank before it or not, is one pre-token and goes to the model at once."""
+        texts = [x.decode("utf-8", "replace") for x in chunks]
+        ids: list[list[int] | None] = [None] * len(texts)
+        tokenize, spell = self.tokenizer.model.tokenize, self.spelling
+        rest = []
+        for k, text in enumerate(texts):
+            if text[text[0] == " " :].isalpha():
+                if text.isascii():
+                    ids[k] = [t.id for t in tokenize(text.replace(" ", "\u0120"))]
+                    continue
+                if max(text) < "\u0250":
+                    ids[k] = [t.id for t in tokenize(chunks[k].decode("latin-1").translate(spell))]
+                    continue
+            rest.append(k)
+        for k, x in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            ids[k] = x.ids
+        return ids
+
+    def _add(self, chunks: list[bytes]) -> np.ndarray:
+        """Encode chunks and keep their ids; gives their entries."""
+        ids = self._encode(chunks)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, used = len(self.known), self.at[len(self.known)]
+        n, used = self.entries, self.at[self.entries]
         total = int(lengths.sum())
         while used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(ids) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used : used + total] = np.fromiter((t for x in ids for t in x), np.uint32, total)
+        self.flat[used : used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.at[n + 1 : n + 1 + len(ids)] = used + np.cumsum(lengths)
-        self.known.update(zip(chunks, range(n, n + len(ids))))
+        self.entries += len(ids)
+        self.known.update((x, n + k) for k, x in enumerate(chunks) if len(x) <= CACHED_BYTES)
+        return np.arange(n, n + len(ids))
 
     def __call__(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, number of ids of each)."""
@@ -76,7 +112,7 @@ class Encoder:
         if high.any():
             cut[2:] &= ~WIDE_2[raw[:-2]] | ~high[1:-1]
             cut[3:] &= ~WIDE_3[raw[:-3]] | ~high[2:-1]
-        cut[1:] |= LETTER[raw[:-1]] & SIGN[raw[1:]]
+        cut[1:] |= LETTER[raw[:-1]] & self.sign[raw[1:]]
         first = ends[:-1][ends[:-1] < ends[1:]]
         cut[first] = True
         start = np.flatnonzero(cut)
@@ -84,21 +120,19 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = self.known
-        missing = [x for x in distinct if x not in known]
-        if missing and len(known) + len(missing) > CACHED_CHUNKS:
+        entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(entry < 0)
+        if len(missing) and self.entries + len(missing) > CACHED_CHUNKS:
             self.clear()
-            known, missing = self.known, distinct
-        if missing:
-            self._add(missing)
-        entry = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+            missing = np.arange(len(distinct))
+        if len(missing):
+            entry[missing] = self._add([distinct[k] for k in missing.tolist()])
+        entry = entry[coded.indices.to_numpy(zero_copy_only=False)]
         begin = self.at[entry]
         length = self.at[entry + 1] - begin
         ids = self.flat[spread(begin, length)]
         upto = np.concatenate([[0], np.cumsum(length)])
         each = np.diff(upto[np.searchsorted(start, ends)])
-        for x in [x for x in missing if len(x) > CACHED_BYTES]:
-            known[x + b"\0gone"] = known.pop(x)  # its place stays taken; the bytes are not looked up again
         return ids, each
 
 

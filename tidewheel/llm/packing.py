@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bytescan import slices
-from tidewheel.llm.encoding import encoder
+from tidewheel.llm.encoding import ENCODE_BYTES, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
-            for part, raw, ends in slices(batch, "text"):
+            for part, raw, ends in slices(batch, "text", ENCODE_BYTES):
                 flat, each = encode(raw, ends)
                 ids = np.insert(flat, np.cumsum(each), np.uint32(end_id)).astype("<u4")
                 each = each + 1

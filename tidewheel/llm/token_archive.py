@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bytescan import slices, spread
-from tidewheel.llm.encoding import encoder
+from tidewheel.llm.encoding import ENCODE_BYTES, encoder
 from tidewheel.llm.shared import Scratch
 
 BLOCK_IDS = 1 << 19
@@ -173,7 +173,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCK_ARROW)], schema=BLOCK_ARROW)
 
         for batch in batches:
-            for rows, raw, ends in slices(batch, "text", min(4 * block_ids, 4 << 20)):
+            for rows, raw, ends in slices(batch, "text", min(8 * block_ids, ENCODE_BYTES)):
                 flat, each = encode(raw, ends)
                 upto = np.cumsum(each)
                 ids.append(np.insert(flat, upto, np.uint32(end_id)))
