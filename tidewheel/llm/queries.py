@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, decontaminate, inverted_multi_index, licenses, line_dedup, oracle, packing, simhash, token_archive, warc
+from tidewheel.llm import chat, decontaminate, inverted_multi_index, licenses, line_dedup, oracle, packing, quality, simhash, token_archive, warc
 from tidewheel.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,12 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")), 3)
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", "expected_grade", F.col("tail").alias("p_good"), (F.col("tail") >= 0.5).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": oracle.OP1,

@@ -125,16 +125,17 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a (signed) long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id; t, a hash of the text; and fp, the fingerprint as a (signed) long."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, ends in slices(batch, "text", 2 << 20):
                 fp = fingerprints_of(Words(raw, ends, NON_BLANK), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "t", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -312,26 +313,44 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = 2, parts: int = 4
     return grouped.mapInArrow(_compare(radius), LINKS)
 
 
+def _components(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints of all rows; label of each distinct fingerprint; first row of each label).
+
+    The first row has the smallest id (null last), then the smallest text hash.
+    """
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min(row).alias("least")), "distinct")
+    found = scratch.keep(components(links(distinct, scratch, radius), scratch), "components")
+    labelled = scratch.keep(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("label"), "least"), "labels")
+    first = scratch.keep(labelled.groupBy("label").agg(F.min("least").alias("first")).select(F.col("label").alias("label_"), "first"), "first")
+    return prints, labelled, first
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every document."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = scratch.keep(components(links(distinct, scratch, radius), scratch), "components")
-    label = F.coalesce("component", "fp")
-    labelled = scratch.keep(distinct.join(found, distinct.fp == found.node, "left").select("fp", label.alias("label"), "least"), "labels")
-    smallest = scratch.keep(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
-    by_print = scratch.keep(labelled.join(smallest, "label").select(F.col("fp").alias("fp_"), "component_id"), "by-print")
+    prints, labelled, first = _components(docs, scratch, id_col, text_col, shingle, radius)
+    by_print = labelled.join(first, F.col("label") == F.col("label_")).select(F.col("fp").alias("fp_"), F.col("first.doc_id").alias("component_id"))
+    by_print = scratch.keep(by_print, "by-print")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(by_print, prints.fp == by_print.fp_).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without later members of a component: rows whose id is their component's smallest, each id once.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One document of each component, with all columns of docs: the row of smallest id (null last), then of smallest text hash.
 
-    Rows with a null id are kept only where no row of their component has an id.
+    Rows equal in id and text are one document, of which one row stays.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).where("doc_id is not null or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints, _, first = _components(docs, scratch, id_col, text_col, shingle, radius)
+    rows = first.select(F.col("first.doc_id").alias("id_"), F.col("first.t").alias("t_"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
+    times = scratch.keep(prints.join(rows, same).groupBy("id_", "t_").agg(F.count("*").alias("times_")), "times")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    kept = own.join(times, same)
+    once = kept.where("times_ = 1").select("row.*")
+    if times.where("times_ > 1").isEmpty():
+        return once
+    again = kept.where("times_ > 1").dropDuplicates(["doc_id", "t"]).select("row.*")
+    return once.unionByName(again)
