@@ -44,9 +44,7 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     length = np.full(len(doc), capacity, np.int64)
     length[rank >= full[doc]] = np.broadcast_to(sizes, has.shape)[has]
-    upto = np.cumsum(length) - length
-    first = np.repeat(upto[np.cumsum(count) - count], count) if len(doc) else upto
-    return doc, upto - first, length
+    return doc, np.cumsum(length) - length - (np.cumsum(lengths) - lengths)[doc], length
 
 
 class Bins:

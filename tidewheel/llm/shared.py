@@ -1,27 +1,13 @@
-"""What several operators need: tables written in the shared folder, and skew-safe look-ups."""
+"""What several operators need: tables written in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (a test) gets a temporary folder of its own;
-    on a cluster that is an error, as no machine-local folder would do.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from tidewheel.scratch import shared_folder
+from tidewheel.tables import load as table  # noqa: F401
 
 
 class Scratch:
@@ -54,11 +40,3 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(frame.kept_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def as_text(frame: DataFrame, column: str):
-    """A column as string; binary keeps its bytes, null stays null."""
-    return F.col(column).cast("string")
