@@ -149,6 +149,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **o
     """All documents, without the spans of hit words; what stands between two words goes with the second."""
     name = _free_name(docs)
     scanned = scan(docs, benchmark, text_col=text_col, hit_col=name, **options)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **o
                             out.append(own[at : place[x["first"]]])
                             at = place[x["stop"]]
                         texts[d] = b"".join([*out, own[at:]]).decode("utf-8", "replace")
-                columns = [pa.array(texts, pa.string()) if c == text_col else rows.column(rows.schema.get_field_index(c)) for c in docs.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+                columns = [pa.array(texts, pa.string()) if c == text_col else rows.column(rows.schema.get_field_index(c)) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return scanned.mapInArrow(run, docs.schema)
