@@ -214,3 +214,11 @@ def test_registry(spark):
         registry.add("f", None, (), "int")
     with pytest.raises(ValueError):
         registry.add("f", len, ("int",) * 5, "int")
+
+
+def test_cursor_and_session_facts(spark):
+    from tidewheel.operators.cursor import dbmsinfo, fetch
+
+    batches = list(fetch(spark.range(0, 25, 1, 3), 10))
+    assert [len(b) for b in batches] == [10, 10, 5] and [r.id for b in batches for r in b] == list(range(25))
+    assert dbmsinfo(spark, "_VERSION") == spark.version and dbmsinfo(spark, "nothing") == ""

@@ -197,3 +197,27 @@ def type_name(column: Column) -> Column:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(Column.__and__, conditions, F.lit(True))
+
+
+#: Geometry types by code, with the number of dimensions of what they describe.
+GEOMETRIES = {
+    "point": 0, "linestring": 1, "polygon": 2, "multipoint": 0, "multilinestring": 1, "multipolygon": 2, "geometrycollection": 2,
+}
+VARIANTS = {"": 0, "Z": 1000, "M": 2000, "ZM": 3000}
+
+
+def geometry_code(name: Column) -> Column:
+    """The numeric code of a geometry's name, with Z, M or ZM behind it: point 1, pointz 1001, and so on."""
+    codes = {base + v.lower(): k + plus for k, base in enumerate(GEOMETRIES, 1) for v, plus in VARIANTS.items()}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair_ in codes.items() for x in pair_)), F.lower(name))
+
+
+def geometry_dimension(code: Column) -> Column:
+    """0 for points, 1 for lines, 2 for areas and collections."""
+    dimensions = {k: n for k, n in enumerate(GEOMETRIES.values(), 1)}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair_ in dimensions.items() for x in pair_)), code % 1000)
+
+
+def blank_padded(column: Column) -> Column:
+    """A char value: trailing blanks do not count in comparisons, grouping and joins."""
+    return F.collate(column, "UTF8_BINARY_RTRIM")

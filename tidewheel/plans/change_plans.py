@@ -89,6 +89,19 @@ def change_subset(spark: SparkSession, d: str) -> DataFrame:
     return changes.subset(_changes(load(spark, d, "events")), F.col("priority") >= 2, ["user_id", "type", "value"])
 
 
+@plans.query(f"""
+WITH w AS ({_winner_sql("priority DESC, changed_at DESC")}), t AS (SELECT c_custkey AS user_id, c_acctbal AS value FROM customer)
+SELECT coalesce(t.user_id, w.user_id) AS user_id, CASE WHEN w.type IS NULL THEN t.value ELSE w.value END AS value
+FROM t FULL JOIN w ON t.user_id = w.user_id WHERE w.type IS NULL OR w.type <> 'D'
+""")
+def change_target_types(spark: SparkSession, d: str) -> DataFrame:
+    """A protected read-only target: it takes changes by priority and sends none."""
+    target = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    incoming = _changes(load(spark, d, "events"))
+    sent = changes.outgoing(incoming, "protected_read_only").select("user_id", "value")
+    return changes.deliver(target, incoming, ["user_id"], ["value"], "protected_read_only", "priority").unionByName(sent)
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
 

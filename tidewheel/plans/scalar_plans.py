@@ -69,9 +69,26 @@ def case_blind_group(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select(F.upper(F.collate("c", "UTF8_BINARY")).alias("letter"), "n", "n_brands")
 
 
+@plans.query("""
+SELECT o_orderpriority AS padded, count(*) AS n FROM orders GROUP BY ALL
+""")
+def blank_padded_compare(spark: SparkSession, d: str) -> DataFrame:
+    """char values with and without trailing blanks are one group."""
+    value = F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderpriority", F.lit("   "))).otherwise(F.col("o_orderpriority"))
+    grouped = load(spark, d, "orders").select(S.blank_padded(value).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    return grouped.select(F.rtrim(F.collate("c", "UTF8_BINARY")).alias("padded"), "n")
+
+
 # numbers
 
 
+@plans.query("SELECT l_orderkey, l_linenumber, l_quantity = l_linenumber AS eq, l_quantity::DECIMAL(12,2) > l_partkey AS gt, l_orderkey::VARCHAR < '2' AS txt FROM lineitem")
+def mixed_type_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Values of two types are compared in the wider one."""
+    c = F.col
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") == c("l_linenumber")).alias("eq"), (c("l_quantity").cast("decimal(12,2)") > c("l_partkey")).alias("gt"), (c("l_orderkey").cast("string") < "2").alias("txt"))
+
+
 @plans.query("SELECT l_orderkey, l_linenumber, (l_orderkey - 20000) % 7 AS m, abs(l_orderkey - 20000) AS a, sqrt(l_quantity) AS root, -l_quantity AS neg FROM lineitem")
 def num_basic(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey") - 20000
@@ -232,6 +249,16 @@ def plane_geometry(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@plans.query("""
+WITH g AS (SELECT p_partkey, list_extract(['Point', 'PolygonZ', 'MultiLineStringM', 'blob'], 1 + (p_partkey % 4)::INTEGER) AS name FROM part)
+SELECT p_partkey, name, CASE name WHEN 'Point' THEN 1 WHEN 'PolygonZ' THEN 1003 WHEN 'MultiLineStringM' THEN 2005 END AS code, CASE name WHEN 'Point' THEN 0 WHEN 'PolygonZ' THEN 2 WHEN 'MultiLineStringM' THEN 1 END AS dimension FROM g
+""")
+def geometry_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ["Point", "PolygonZ", "MultiLineStringM", "blob"])), (1 + F.col("p_partkey") % 4).cast("int"))
+    rows = load(spark, d, "part").select("p_partkey", name.alias("name")).withColumn("code", S.geometry_code(F.col("name")))
+    return rows.withColumn("dimension", S.geometry_dimension(F.col("code")))
+
+
 @plans.query("""
 WITH v AS (SELECT event_id, event_id * 37 % 1000000 AS n FROM events)
 SELECT event_id, (n // 10000)::VARCHAR || '.' || (n // 100 % 100)::VARCHAR || CASE WHEN n % 100 = 0 THEN '' ELSE '.' || (n % 100)::VARCHAR END AS version FROM v

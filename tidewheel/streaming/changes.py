@@ -70,6 +70,23 @@ def subset(changes: DataFrame, rows: Column | None = None, columns: list[str] |
     return out if columns is None else out.select(*columns)
 
 
+#: What a target takes part in: sending changes, receiving them, and having collisions looked for.
+TARGETS = {"full_peer": (True, True, True), "protected_read_only": (False, True, True), "unprotected_read_only": (False, True, False)}
+
+
+def deliver(target: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], target_type: str = "full_peer", mode: str = "last_write") -> DataFrame:
+    """A target after incoming changes: unprotected targets take each key's last change, the others resolve collisions by mode."""
+    _, receives, checks = TARGETS[target_type]
+    if not receives:
+        return target
+    return apply(target, winners(incoming, keys, mode if checks else "last_write"), keys, values)
+
+
+def outgoing(local: DataFrame, target_type: str) -> DataFrame:
+    """Changes that a target of this type sends on: none from read-only ones."""
+    return local if TARGETS[target_type][0] else local.where("false")
+
+
 def batch_writer(path: str, keys: list[str], values: list[str], mode: str, on_error: str = "skip_row") -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that appends each batch's winning changes under `path`, one folder for a batch id.
 
