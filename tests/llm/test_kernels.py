@@ -43,11 +43,28 @@ def test_buffers_of_slices_and_nulls():
 
 
 def test_text_set_confirms_bytes():
-    found = bytescan.TextSet([b"one", b"two", b"three"])
+    texts = [b"one", b"two", b"three", b"two"]
+    found = bytescan.TextSet.of_texts(texts)
+    number = {t: k for t, k in zip(texts, found.of.tolist())}
+    assert found.of[1] == found.of[3] and sorted(number.values()) == [0, 1, 2]
     text = np.frombuffer(b"two onex three", np.uint8)
     start, end = np.array([0, 4, 4, 9]), np.array([3, 7, 8, 14])
     at, which = found.find(text, start, end, bytescan.SpanHash(text)(start, end))
-    assert at.tolist() == [0, 1, 3] and which.tolist() == [1, 0, 2]
+    assert at.tolist() == [0, 1, 3] and which.tolist() == [number[b"two"], number[b"one"], number[b"three"]]
+
+
+def test_text_set_tells_texts_of_one_hash_apart(monkeypatch):
+    class Same(bytescan.SpanHash):
+        def __call__(self, start, end):
+            return np.full(len(start), 7, np.uint64)
+
+    monkeypatch.setattr(bytescan, "SpanHash", Same)
+    found = bytescan.TextSet.of_texts([b"ab", b"cd", b"efg", b"cd"])
+    assert len(found.tables) == 3 and found.of[1] == found.of[3] and len(set(found.of.tolist())) == 3
+    text = np.frombuffer(b"cd xx efg", np.uint8)
+    start, end = np.array([0, 3, 6]), np.array([2, 5, 9])
+    at, which = found.find(text, start, end, np.full(3, 7, np.uint64))
+    assert at.tolist() == [0, 2] and which.tolist() == [found.of[1], found.of[2]]
 
 
 @pytest.fixture(scope="module")

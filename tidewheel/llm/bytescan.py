@@ -169,26 +169,39 @@ class SpanHash:
 
 
 class TextSet:
-    """Distinct texts, found by hash and confirmed byte by byte."""
+    """Distinct texts, found by hash and confirmed byte by byte.
+
+    The texts are spans of one buffer, which may overlap and repeat; `of[i]` is the number of span i's text.
+    """
 
     BITS = 20
 
-    def __init__(self, texts: list[bytes]) -> None:
-        self.size = len(texts)
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.text = np.frombuffer(b"".join(texts), np.uint8)
-        self.start = np.cumsum(length) - length
-        self.length = length
-        hashed = SpanHash(self.text)(self.start, self.start + length)
+    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        self.text = text
+        hashed = SpanHash(text)(start, start + length)
+        self.of = np.full(len(start), -1, np.int64)
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        left = np.arange(len(texts))
-        while len(left):  # a second table only if two of the texts share a hash
-            keys, first = np.unique(hashed[left], return_index=True)
-            self.tables.append((keys, left[first]))
-            left = np.delete(left, first)
+        firsts: list[np.ndarray] = []
+        left, count = np.arange(len(start)), 0
+        while len(left):  # a second table only if different texts share a hash
+            keys, first, group = np.unique(hashed[left], return_index=True, return_inverse=True)
+            own = left[first][group]
+            same = length[left] == length[own]
+            same[same] = same_spans(text, start[left[same]], text, start[own[same]], length[own[same]])
+            self.of[left[same]] = count + group[same]
+            self.tables.append((keys, count + np.arange(len(keys))))
+            firsts.append(left[first])
+            left, count = left[~same], count + len(keys)
+        chosen = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        self.start, self.length = start[chosen], length[chosen]
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[hashed >> np.uint64(64 - self.BITS)] = True
 
+    @classmethod
+    def of_texts(cls, texts: list[bytes]) -> TextSet:
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        return cls(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length, length)
+
     def find(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the spans are in the set, ascending; which text each of them is)."""
         maybe = np.flatnonzero(self.seen[hashed >> np.uint64(64 - self.BITS)])

@@ -26,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.bytescan import ALNUM, SpanHash, TextSet, Words, runs, slices
+from tidewheel.llm.bytescan import ALNUM, SpanHash, TextSet, Words, buffers, runs, slices, spread
 
-BROADCAST_BYTES = 64 << 20
+#: Bytes of item texts in a broadcast block; its windows take some ten times as much in each worker.
+BROADCAST_BYTES = 8 << 20
 
 HIT_TYPE = T.StructType(
     [
@@ -41,22 +42,23 @@ HIT_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("
 
 
 class WindowSet:
-    """All windows of some items, and the items that have each."""
+    """All windows of some items as spans of the items' words, and the items that have each: arrays only."""
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
-        texts = pa.array([t for _, t in items], pa.string())
-        data = np.frombuffer(b"".join(t.encode() for _, t in items), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in items])]).astype(np.int64)
-        words = Words(data, ends, ALNUM)
-        assert len(texts) == len(items)
-        found: dict[int, dict[bytes, set[str]]] = {}
-        raw = words.text.tobytes()
-        for k, (name, _) in enumerate(items):
-            a, b = int(words.number[k]), int(words.number[k + 1])
-            size = min(n, b - a)
-            for i in range(a, b - size + 1) if size else ():
-                found.setdefault(size, {}).setdefault(raw[words.start[i] : words.end[i + size - 1]], set()).add(name)
-        self.by_size = {size: (TextSet(list(x)), [sorted(v) for v in x.values()]) for size, x in sorted(found.items())}
+        raw, ends = buffers(pa.array([t for _, t in items], pa.string()))
+        words = Words(raw, ends, ALNUM)
+        self.names = [name for name, _ in items]
+        count = np.diff(words.number)
+        size = np.minimum(count, n)
+        self.by_size: dict[int, tuple[TextSet, np.ndarray, np.ndarray]] = {}
+        for width in np.unique(size[size > 0]).tolist():
+            some = np.flatnonzero(size == width)
+            windows = count[some] - width + 1
+            first = spread(words.number[some], windows)
+            start = words.start[first]
+            texts = TextSet(words.text, start, words.end[first + width - 1] - start)
+            pairs = np.unique(np.stack([texts.of, np.repeat(some, windows)]), axis=1)
+            self.by_size[width] = (texts, np.searchsorted(pairs[0], np.arange(len(texts.start) + 1)), pairs[1])
 
 
 def hits(words: Words, windows: WindowSet) -> tuple[np.ndarray, list[tuple[int, str]]]:
@@ -66,7 +68,7 @@ def hits(words: Words, windows: WindowSet) -> tuple[np.ndarray, list[tuple[int,
     if not len(words) or not windows.by_size:
         return covered[:-1] > 0, []
     span_hash, document = SpanHash(words.text), words.document()
-    for size, (texts, owners) in windows.by_size.items():
+    for size, (texts, owner_at, owners) in windows.by_size.items():
         if len(words) < size:
             continue
         start, end = words.start[: len(words) - size + 1], words.end[size - 1 :]
@@ -76,7 +78,7 @@ def hits(words: Words, windows: WindowSet) -> tuple[np.ndarray, list[tuple[int,
         np.add.at(covered, at, 1)
         np.add.at(covered, at + size, -1)
         for d, k in np.unique(np.stack([document[at].astype(np.int64), which]), axis=1).T.tolist():
-            pairs.update((d, x) for x in owners[k])
+            pairs.update((d, windows.names[x]) for x in owners[owner_at[k] : owner_at[k + 1]].tolist())
     return np.cumsum(covered[:-1]) > 0, sorted(pairs)
 
 

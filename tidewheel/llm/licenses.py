@@ -72,11 +72,11 @@ class Vocabulary:
         out = np.full(len(words), -1, np.int32)
         if len(words):
             at, which = texts.find(words.text, words.start, words.end, SpanHash(words.text)(words.start, words.end))
-            out[at] = which
+            out[at] = np.argsort(texts.of)[which]  # a text's number is the place of its hash
         return out
 
     def texts(self) -> TextSet:
-        return TextSet([w.encode() for w in self.words])
+        return TextSet.of_texts([w.encode() for w in self.words])
 
 
 def token_order(docs: DataFrame, vocabulary: Vocabulary) -> list[int]:

@@ -50,8 +50,11 @@ def _record_id(page: Column, url: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *(x for k, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if k else []) + [F.substring(h, a, n)]), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None, scratch: Scratch | None = None, records_per_file: int = 50_000) -> None:
-    """Write one record for each row of pages, responses with their payload and revisits without."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None, scratch: Scratch | None = None, records_per_file: int = 5_000) -> None:
+    """Write one record for each row of pages, responses with their payload and revisits without.
+
+    `records_per_file` keeps files small enough to be read whole by one task.
+    """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
