@@ -185,6 +185,13 @@ def test_copy_round_trip(spark, tmp_path, style):
     assert sorted(map(tuple, copy.copy_from(spark, str(tmp_path / "f"), fields, style).collect())) == sorted(rows)
 
 
+def test_copy_of_line_breaks(spark, tmp_path):
+    rows = [(1, "two\nlines"), (2, "one")]
+    fields = [copy.Field("k", "int"), copy.Field("s")]
+    copy.copy_into(spark.createDataFrame(rows, "k int, s string"), str(tmp_path / "f"), fields, "csv")
+    assert sorted(map(tuple, copy.copy_from(spark, str(tmp_path / "f"), fields, "csv", line_breaks=True).collect())) == rows
+
+
 def test_copy_refuses_null_without_a_text(spark, tmp_path):
     with pytest.raises(Exception, match="has no null text"):
         copy.copy_into(spark.createDataFrame([(None,)], "s string"), str(tmp_path / "f"), [copy.Field("s")])
