@@ -415,8 +415,9 @@ def test_quality_of_odd_rows(spark, odd, empty):
 
 def test_the_sample_is_bounded(spark, small):
     docs, grades = spark.read.parquet(f"{small}/documents.parquet"), quality.grades_of(spark.read.parquet(f"{small}/labels.parquet"))
-    a, b = (quality.train(docs, grades, 3, max_fit=20) for _ in range(2))
+    a, b = (quality.train(frame, grades, 3, max_fit=20) for frame in (docs, docs.union(docs)))  # repeated rows change nothing
     assert np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights)
+    assert quality.train(docs, grades, 3, max_bytes=0).keys.size == 0
 
 
 # pipeline

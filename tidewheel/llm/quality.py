@@ -9,14 +9,14 @@ coarse shape (share of distinct words, of signs, length); each is a 64-bit hash.
 that stand in `min_docs` of the fitted documents have a weight; scoring looks hashes
 up in a table, so other words cannot collide with them.
 
-The model is fitted on at most `max_fit` rated documents, those of smallest hash of
-their id (a bounded sample, collected as feature hashes), by proximal gradient steps
-with an L1 penalty, which leaves words that say nothing at zero. All documents are
+The model is fitted on at most `max_fit` rated documents with `max_bytes` of text,
+those of smallest hash of their id (a bounded sample, collected as feature hashes), by
+proximal gradient steps with an L1 penalty, which leaves words that say nothing at zero. All documents are
 scored, in one scan without a shuffle.
 
 Defined cases: null texts are empty and scored like any text; ratings that are null,
-or whose document is missing, are not fitted; repeated ratings count as often as they
-come; without ratings, or with one grade only, every document gets the same score
+or whose document is missing, are not fitted; repeated ratings and documents
+are fitted once; without ratings, or with one grade only, every document gets the same score
 and is kept; empty tables give no rows; all columns of documents are kept.
 """
 
@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from tidewheel.llm.bytescan import ALNUM, NON_BLANK, SpanHash, Words, slices
 
-MAX_FIT = 8_000
+#: Bounds of what is fitted: ratings, and bytes of their texts.
+MAX_FIT, MAX_BYTES = 8_000, 48 << 20
 SIGNS = NON_BLANK & ~ALNUM
 SIGNS[0x41:0x5B] = False
 
@@ -169,12 +170,19 @@ def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: in
     return Model(keys[kept], w[kept], thresholds)
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_fit: int = MAX_FIT, **options) -> Model:
-    """Fit on at most `max_fit` rows of ratings (id_col, grade_col) that have a document."""
-    chosen = ratings.select(F.col(id_col).cast("long").alias("rated"), F.col(grade_col).cast("int").alias("grade")).where(F.col("rated").isNotNull() & F.col("grade").between(0, n_grades - 1))
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_fit: int = MAX_FIT, max_bytes: int = MAX_BYTES, **options) -> Model:
+    """Fit on at most `max_fit` ratings (id_col, grade_col) that have a document, and at most `max_bytes` of text."""
+    spark = docs.sparkSession
+    chosen = ratings.select(F.col(id_col).cast("long").alias("rated"), F.col(grade_col).cast("int").alias("grade")).where(F.col("rated").isNotNull() & F.col("grade").between(0, n_grades - 1)).distinct()
     chosen = chosen.orderBy(F.xxhash64("rated"), "rated", "grade").limit(max_fit)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rated = rows.join(F.broadcast(chosen), F.col("id") == F.col("rated")).select("id", "grade", "text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    rated = rows.join(F.broadcast(chosen), F.col("id") == F.col("rated"))
+    sizes = rated.select("id", "grade", "t", F.octet_length("text").alias("size")).distinct().orderBy(F.xxhash64("id"), "id", "grade", "t").limit(max_fit).collect()
+    upto = np.cumsum([r["size"] for r in sizes])
+    some = [(r["id"], r["grade"], r["t"]) for r, n in zip(sizes, upto) if n <= max_bytes]
+    wanted = spark.createDataFrame(some, "id_ long, grade int, t_ long")
+    fitted = rows.join(F.broadcast(wanted), (F.col("id") == F.col("id_")) & (F.col("t") == F.col("t_"))).dropDuplicates(["id", "t", "grade"]).select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +191,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
                 blobs = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blobs], names=["id", "grade", "found"])
 
-    got = rated.mapInArrow(run, "id long, grade int, found binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    got = fitted.mapInArrow(run, "id long, grade int, found binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     found = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("found")]
     return fit(found, got.column("grade").to_numpy(), n_grades, **options)
 
