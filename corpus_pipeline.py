@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm import decontaminate, line_dedup, packing, quality, simhash
 from tidewheel.llm.queries import tokenizer_path
 from tidewheel.llm.shared import Scratch, table
+from tidewheel.session import with_package
 
 GOOD = 0.5
 
@@ -55,11 +56,11 @@ def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_deduplication),
-    ("simhash near-dedup", simhash_near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("packing", harmonic_packing),
+    ("quality classifier", with_package(quality_classifier)),
+    ("line dedup", with_package(line_deduplication)),
+    ("simhash near-dedup", with_package(simhash_near_dedup)),
+    ("benchmark decontamination", with_package(benchmark_decontamination)),
+    ("packing", with_package(harmonic_packing)),
 ]
 
 #: A classifier, 64-bit hashes and a tokenizer are beyond SQL; the stages are tested against plain versions.
