@@ -48,12 +48,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.sign = SIGN.copy()
+        sign = SIGN.copy()
         for token in self.tokenizer.get_added_tokens_decoder().values():  # a chunk's border must not cut one
             content = np.frombuffer(token.content.encode(), np.uint8)
             if BLANK[content].any():
                 raise ValueError("added tokens with white space are not supported")
-            self.sign[content[1:][LETTER[content[:-1]]]] = False
+            sign[content[1:][LETTER[content[:-1]]]] = False
+        self.kind = BLANK + 2 * LETTER.astype(np.uint8) + 4 * sign.astype(np.uint8)
         # the byte-level alphabet: how a pre-token's bytes are spelt; visible Latin-1 bytes are themselves, the others U+0100 and on
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.spelling = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in visible)}
@@ -105,16 +106,14 @@ class Encoder:
         n, docs = len(raw), len(ends) - 1
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
-        blank = BLANK[raw]
-        cut = np.zeros(n, bool)
-        np.greater(blank[1:], blank[:-1], out=cut[1:])
-        high = raw >= 0x80
-        if high.any():
-            cut[2:] &= ~WIDE_2[raw[:-2]] | ~high[1:-1]
-            cut[3:] &= ~WIDE_3[raw[:-3]] | ~high[2:-1]
-        cut[1:] |= LETTER[raw[:-1]] & self.sign[raw[1:]]
-        first = ends[:-1][ends[:-1] < ends[1:]]
-        cut[first] = True
+        kind = self.kind[raw]  # bits: 1 white space, 2 letter, 4 sign
+        cut = np.zeros(n, np.uint8)
+        cut[1:] = (kind[1:] & ~kind[:-1] & 1) | ((kind[:-1] << 1) & kind[1:] & 4)
+        edge = np.flatnonzero(cut)
+        edge = edge[raw[edge - 1] >= 0x80]
+        wide = WIDE_2[raw[np.maximum(edge - 2, 0)]] | WIDE_3[raw[np.maximum(edge - 3, 0)]]
+        cut[edge[wide]] = 0  # what stands before may be white space too
+        cut[ends[:-1][ends[:-1] < ends[1:]]] = 1
         start = np.flatnonzero(cut)
         bounds = np.append(start, n).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
