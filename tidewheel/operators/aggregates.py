@@ -43,16 +43,25 @@ def running(frame: DataFrame, by: list[str], order: list[str], values: dict[str,
     return frame.select("*", *(c.over(window).alias(n) for n, c in values.items()))
 
 
-def running_sum(frame: DataFrame, order: str, ties: list[str], value: str, into: str, buckets: int = 200) -> DataFrame:
+def _bucket(column: Column, bounds: list, low: int, high: int) -> Column:
+    """The number of bounds below a value, by halving: as many comparisons as the logarithm of the bounds."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(column <= F.lit(bounds[middle]), _bucket(column, bounds, low, middle)).otherwise(_bucket(column, bounds, middle + 1, high))
+
+
+def running_sum(frame: DataFrame, order: str, ties: list[str], value: str, into: str, buckets: int | None = None) -> DataFrame:
     """Cumulative sum from the start of the report, without sorting all rows in one task.
 
-    `order` is cut at approximate quantiles into buckets; inside a bucket a window runs over its rows, and the totals
-    of the buckets before (one row for each bucket) are added. `order` with `ties` has to be unique, and not null.
+    `order` is cut at approximate quantiles into buckets (as many as there are shuffle partitions, 1000 at most); inside
+    a bucket a window runs over its rows, and the totals of the buckets before (one row for each bucket) are added.
+    `order` with `ties` has to be unique, and not null.
     """
-    shares = [k / buckets for k in range(1, buckets)]
-    bounds = frame.agg(F.percentile_approx(order, shares).alias("b")).first()["b"] or []
-    cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast(f"array<{dict(frame.dtypes)[order]}>")
-    dealt = frame.withColumn("_bucket", F.size(F.filter(cuts, lambda b: b < F.col(order))))
+    buckets = buckets or min(1000, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    bounds = sorted(set(frame.agg(F.percentile_approx(order, shares).alias("b")).first()["b"] or []))
+    dealt = frame.withColumn("_bucket", _bucket(F.col(order), bounds, 0, len(bounds)))
     totals = dealt.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     before = totals.select("_bucket", F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(key(order), *map(key, ties)).rowsBetween(Window.unboundedPreceding, 0))
