@@ -8,13 +8,12 @@ A null text counts as an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: A slice holds so many bytes of text, unless one document alone is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -131,13 +130,20 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, length) + np.arange(total, dtype=np.int64)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random byte values, and the powers of an odd base and of its inverse modulo 2**64."""
+#: Powers kept for later slices; longer ones, for a text longer than a slice, are made anew.
+_KEPT_POWERS = 1 << 23
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers (`size` or more) of an odd base and of its inverse modulo 2**64."""
+    if _kept and len(_kept[0][0]) >= size:
+        return _kept[0]
+    size = 1 << max(20, size.bit_length())
     base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
     out = []
-    for factor in (base, inverse):
+    for factor in (base, pow(base, -1, 1 << 64)):
         powers = np.empty(size, np.uint64)
         powers[0] = 1
         done = 1
@@ -147,18 +153,18 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             powers[done : done + n] = powers[:n] * step
             done += n
         out.append(powers)
-    values = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return values, out[0], out[1]
+    if size <= _KEPT_POWERS:
+        _kept[:] = [(out[0], out[1])]
+    return out[0], out[1]
 
 
 class SpanHash:
     """64-bit hashes of any spans of one buffer, in constant time each; equal spans have equal hashes."""
 
     def __init__(self, text: np.ndarray) -> None:
-        size = 1 << max(20, (len(text) + 1).bit_length())
-        values, powers, self._inverse = _powers(size)
+        powers, self._inverse = _powers(len(text) + 1)
         self._sum = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(values[text] * powers[: len(text)], out=self._sum[1:])
+        np.cumsum(_VALUES[text] * powers[: len(text)], out=self._sum[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sum[end] - self._sum[start]) * self._inverse[start]
