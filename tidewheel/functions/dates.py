@@ -58,12 +58,9 @@ def subtract(column: Column, text: str) -> Column:
 
 def parse_date(column: Column) -> Column:
     """A date literal in any of the input forms; an empty text is an empty date (NULL), other texts that fit none are NULL."""
-    tidy = F.initcap(F.lower(F.trim(column)))
-    tidy = F.regexp_replace(tidy, "^[0-9]+[-/][A-Za-z]+", F.initcap(F.regexp_extract(tidy, "^[0-9]+[-/][A-Za-z]+", 0)))
-    month = lambda t: F.regexp_replace(t, "([0-9]+[-/])([a-z])", "$1$2")
-    fixed = month(tidy)
-    spelt = F.regexp_extract(fixed, "[A-Za-z]+", 0)
-    fixed = F.when(spelt == "", fixed).otherwise(F.replace(fixed, spelt, F.initcap(spelt)))
+    tidy = F.lower(F.trim(column))
+    month = F.regexp_extract(tidy, "[a-z]+", 0)
+    fixed = F.when(month == "", tidy).otherwise(F.replace(tidy, month, F.initcap(month)))
     return F.coalesce(*(F.try_to_timestamp(fixed, F.lit(f)).cast("date") for f in FORMS))
 
 
@@ -71,7 +68,7 @@ def month_number(column: Column) -> Column:
     """A month's number from its number, name or three-letter abbreviation; NULL otherwise."""
     names = F.create_map(*(x for k, m in enumerate(MONTHS, 1) for name in sorted({m, m[:3]}) for x in (F.lit(name), F.lit(k))))
     number = F.try_element_at(names, F.lower(F.trim(column)))
-    digits = F.expr("int(NULL)") if column is None else F.when(F.trim(column).rlike("^(0?[1-9]|1[0-2])$"), F.trim(column)).cast("int")
+    digits = F.when(F.trim(column).rlike("^(0?[1-9]|1[0-2])$"), F.trim(column)).cast("int")
     return F.coalesce(number, digits)
 
 
