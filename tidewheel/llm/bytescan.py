@@ -242,7 +242,3 @@ def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.nd
             out[owner[differ]] = False
         row = stop
     return out
-
-
-def shape_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)

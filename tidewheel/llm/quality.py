@@ -98,7 +98,6 @@ class Model:
 
     def __post_init__(self) -> None:
         self.slot = np.full(1 << self.BITS, -1, np.int32)
-        self.spill = np.zeros(0, np.int32)
         if len(self.keys):
             place = (self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)
             self.slot[place] = np.arange(len(self.keys), dtype=np.int32)
