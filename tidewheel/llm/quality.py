@@ -133,9 +133,10 @@ def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: in
     size = np.fromiter(map(len, found), np.int64, len(found))
     common = (count >= min_docs) & (count <= 0.98 * len(grades))
     renumber = np.cumsum(common) - 1
-    row = np.repeat(np.arange(len(found)), size)
+    row = np.repeat(np.arange(len(found), dtype=np.int32), size)
     use = common[code]
     row, column = row[use], renumber[code[use]].astype(np.int32)
+    del code, use
     keys = keys[common]
     at = np.searchsorted(row, np.arange(len(found) + 1))
     n = len(grades)
@@ -192,7 +193,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
 
     got = fitted.mapInArrow(run, "id long, grade int, found binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     found = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("found")]
-    return fit(found, got.column("grade").to_numpy(), n_grades, **options)
+    grades = got.column("grade").to_numpy().copy()
+    del got  # the driver holds the features once
+    return fit(found, grades, n_grades, **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", good: int | None = None, names: tuple[str, str] = ("expected_grade", "tail"), keep: list[str] | None = None, at_least: float | None = None) -> DataFrame:
