@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, line_dedup, packing, quality, simhash
+from tidewheel.llm import decontaminate, line_dedup, packing, quality, similar
 from tidewheel.llm.queries import tokenizer_path
 from tidewheel.llm.shared import Scratch, table
 from tidewheel.session import with_package
@@ -41,8 +41,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -344,6 +344,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints, _, first = _components(docs, scratch, id_col, text_col, shingle, radius)
+    return keep_rows(docs, prints, first, scratch, id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, prints: DataFrame, first: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose doc_id and t stand in `first`, once each; `prints` has doc_id and t of all rows."""
     rows = first.select(F.col("first.doc_id").alias("id_"), F.col("first.t").alias("t_"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
     times = scratch.keep(prints.join(rows, same).groupBy("id_", "t_").agg(F.count("*").alias("times_")), "times")
