@@ -1,12 +1,17 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the life of what is written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_local: dict[str, tempfile.TemporaryDirectory] = {}  # by application; deleted when the driver ends
+_runs: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, as the session has it.
@@ -15,13 +20,35 @@ def shared_folder(spark: SparkSession) -> str:
     machine-local folder would do.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _local:
+        _local[app] = tempfile.TemporaryDirectory(prefix="tidewheel-", ignore_cleanup_errors=True)
+    return "file://" + _local[app].name
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_runs[-1] if _runs else shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[str]:
+    """All that is written inside lies in one folder, which goes at the end: compute and store a result inside.
+
+    Outside of a run, tables of intermediate steps stay in the shared folder, as a lazy result may still read them.
+    """
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    _runs.append(path)
+    try:
+        yield path
+    finally:
+        _runs.remove(path)
+        delete(spark, path)
