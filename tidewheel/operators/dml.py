@@ -22,16 +22,18 @@ def insert(target: DataFrame, source: DataFrame, columns: list[str] | None = Non
 def update_from(target: DataFrame, source: DataFrame, on: dict[str, str], assign: dict[str, Column], check: bool = True) -> DataFrame:
     """UPDATE target FROM source: columns of `assign` (over target and source columns) where a source row matches.
 
-    With `check`, source rows of equal keys raise AmbiguousUpdate when the result is computed; it costs one aggregation
-    of the source, which the join needs on the same keys anyway.
+    With `check`, several source rows that meet one target row are an error ("ambiguous update") when the result is
+    computed; repeated source keys that meet none are not. It costs one aggregation of the source, which the join needs
+    on the same keys anyway.
     """
     keys = list(on.values())
     rows = source.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)))
     others = [c for c in source.columns if c not in keys]
     grouped = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"), F.min(F.struct(*others) if others else F.lit(1)).alias("_row"))
-    if check:
-        grouped = grouped.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("ambiguous update: several source rows for one key")).cast("long")).otherwise(F.col("_n")))
     joined = target.join(grouped, reduce(Column.__and__, (target[t] == grouped[f"_{k}"] for t, k in on.items())), "left")
+    if check:
+        ambiguous = F.raise_error(F.lit("ambiguous update: several source rows for one target row")).cast("boolean")
+        joined = joined.where(F.coalesce(F.when(F.col("_n") > 1, ambiguous), F.lit(True)))
     wide = joined.select(*target.columns, "_n", *(F.col(f"_row.{c}").alias(c) for c in others)) if others else joined
     kinds = dict(target.dtypes)
     return wide.select(*(F.when(F.col("_n").isNotNull(), assign[c]).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c in assign else F.col(c) for c in target.columns))
