@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.scratch import shared_folder
+from tidewheel.scratch import delete, new_path
 from tidewheel.tables import load as table  # noqa: F401
 
 
@@ -14,12 +12,13 @@ class Scratch:
     """Tables of one run of an operator, as Parquet in the shared folder.
 
     keep() writes a frame and reads it back, which cuts its lineage: a lost executor
-    costs no more than the step that was running.
+    costs no more than the step that was running. What is not dropped stays until the
+    end of scratch.run(), if the operator was called in one, as its result may read it.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_path(spark, name)
         self.count = 0
 
     def path(self, label: str) -> str:
@@ -35,8 +34,5 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete kept tables that no later step reads."""
-        jvm = self.spark._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame.kept_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
+            delete(self.spark, frame.kept_at)
