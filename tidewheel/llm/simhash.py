@@ -14,7 +14,8 @@ documents of linked fingerprints, over any number of links, are one component.
   exceed the radius.
 * A key with more entries than `block` is cut into blocks; each pair of blocks is
   compared in a task of its own. Every task gives a spanning forest of its links,
-  fewer rows than entries, never all pairs.
+  fewer rows than entries, never all pairs. Comparing a key of n different
+  fingerprints still takes n * n / 2 bit-sliced distances: split, but quadratic.
 
 Defined cases: a null text has no words, and a text without words has fingerprint 0,
 which links like any other; fewer words than a shingle are one shingle; a null id is
@@ -86,18 +87,28 @@ def _one_length(text, eight, four, at, n: int, seed) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints_of(words: Words, shingle: int) -> np.ndarray:
-    """One fingerprint for each document of a slice."""
-    docs = len(words.number) - 1
+def shingle_hashes(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles, repeats included, document by document; number of shingles of each document)."""
     count = np.diff(words.number)
     shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     first = spread(words.number[:-1], shingles)
-    size = np.repeat(np.minimum(count, shingle), shingles)
-    out = np.zeros(docs, np.uint64)
     if not len(first):
-        return out
+        return np.zeros(0, np.uint64), shingles
+    size = np.repeat(np.minimum(count, shingle), shingles)
     start = words.start[first]
-    h = xxh64(words.text, start, words.end[first + size - 1] - start)
+    return xxh64(words.text, start, words.end[first + size - 1] - start), shingles
+
+
+def fingerprints_of(words: Words, shingle: int) -> np.ndarray:
+    """One fingerprint for each document of a slice."""
+    return majority(*shingle_hashes(words, shingle))
+
+
+def majority(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """For each document the bits that over half of its hashes have."""
+    out = np.zeros(len(shingles), np.uint64)
+    if not len(h):
+        return out
     some = np.flatnonzero(shingles)
     begin = (np.cumsum(shingles) - shingles)[some]
     ones = np.zeros((len(some), 64), np.int64)

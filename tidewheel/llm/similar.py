@@ -13,9 +13,13 @@ documents linked over any number of links are one component. No link is lost:
 * Then all other pairs of a key are candidates, unless already in one component, or
   excluded by their sizes or by the shingle's places in both (positional filter). A
   key of more than `block` members is cut into blocks, each pair a group of its own.
-* Every candidate counts only by its similarity, taken from the whole sets.
+* A candidate's sketches are compared first: a sketch counts a set's shingles in
+  buckets of their hash, so the differences of two sketches add up to no more than the
+  sets differ; pairs whose sketches differ by more than linked sets can are no links.
+* Every other candidate counts only by its similarity, taken from the whole sets.
 
-Pairs that are not linked, but share a rare shingle and have like sizes, are compared one by one.
+Pairs that are not linked, but share a rare shingle and have like sizes, are compared
+one by one, nearly all of them by their sketches alone.
 
 Defined cases: null texts and texts without words are one set with one empty shingle;
 equal texts are one entry; ids as in simhash; empty tables give no rows.
@@ -46,14 +50,13 @@ CROWD, BROADCAST_TEXTS = 64, 1_000_000
 
 def shingles_of(words: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, document of each), ascending by document, then hash."""
-    docs = len(words.number) - 1
-    count = np.diff(words.number)
-    n = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
-    first, size = spread(words.number[:-1], n), np.repeat(np.minimum(count, shingle), n)
-    start = words.start[first]
-    h = simhash.xxh64(words.text, start, words.end[first + size - 1] - start) if len(first) else np.zeros(0, np.uint64)
-    none = np.flatnonzero(n == 0)
-    h, owner = np.concatenate([h, np.zeros(len(none), np.uint64)]), np.concatenate([np.repeat(np.arange(docs), n), none])
+    return distinct_of(*simhash.shingle_hashes(words, shingle))
+
+
+def distinct_of(h: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingles_of, of the hashes of all shingles."""
+    none = np.flatnonzero(shingles == 0)
+    h, owner = np.concatenate([h, np.zeros(len(none), np.uint64)]), np.concatenate([np.repeat(np.arange(len(shingles)), shingles), none])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
@@ -61,6 +64,25 @@ def shingles_of(words: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return h[new], owner[new]
 
 
+def sketches(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of each document's hashes in buckets of their top bits, 2 to 4 hashes a bucket; 255 is 255 or more."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 2, 3)
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    bucket = begin[owner] + (h >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(bucket, minlength=int(begin[-1])), 255).astype(np.uint8)
+    return [counts[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A number that two sets differ by at least, from their sketches."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int16), np.frombuffer(y, np.uint8).astype(np.int16)
+    while len(a) > len(b):
+        a = np.minimum(a[::2] + a[1::2], 255)
+    while len(b) > len(a):
+        b = np.minimum(b[::2] + b[1::2], 255)
+    return int(np.abs(a - b).sum())
+
+
 def _text(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
@@ -81,7 +103,7 @@ def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, t, fp (of the shingles), n (size of the set) and prefix, for all rows."""
+    """doc_id, t, fp (of the shingles), n (size of the set), prefix and sketch, for all rows."""
     by_hash = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.int64) + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
@@ -90,20 +112,21 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
         keys, ranks = shared.value
         for batch in batches:
             for part, raw, ends in slices(batch, "text"):
-                words = Words(raw, ends, NON_BLANK)
-                fp = simhash.fingerprints_of(words, SHINGLE)
-                h, owner = shingles_of(words)
+                every, shingles = simhash.shingle_hashes(Words(raw, ends, NON_BLANK), SHINGLE)
+                fp = simhash.majority(every, shingles)
+                h, owner = distinct_of(every, shingles)
                 rank = np.zeros(len(h), np.int64)
                 if len(keys):
                     place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     rank = np.where(keys[place] == h, ranks[place], 0)
-                h = h[np.lexsort((h, rank, owner))]
                 n = np.bincount(owner, minlength=part.num_rows)
+                sketch = pa.array(sketches(h, owner, n), pa.binary())
+                h = h[np.lexsort((h, rank, owner))]
                 begin, size = np.cumsum(n) - n, n - (OVER * n + UNDER - 1) // UNDER + 1
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(h[spread(begin, size)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64)), pa.array(n), prefix], names=["doc_id", "t", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64)), pa.array(n), prefix, sketch], names=["doc_id", "t", "fp", "n", "prefix", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, t long, fp long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, t long, fp long, n long, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
@@ -138,8 +161,19 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets are alike; sets of b travel with their pairs, so a may be a hot key."""
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow the similarity: sets of n and m may differ by a ninth of n + m."""
+    for batch in batches:
+        most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (OVER + UNDER)
+        ok = [apart(x.as_py(), y.as_py()) <= limit for x, y, limit in zip(batch.column(4), batch.column(5), most.tolist())]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets are alike; sketches and sets of b travel with their pairs, so a may be a hot key."""
+    left, right = (sketched.select(F.col("t").alias(f"{c}_"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    wide = pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    pairs = scratch.keep(wide.mapInArrow(_possible, "a long, b long"), "possible")
     sets = _sets(docs, pairs, scratch, text_col)
     right = pairs.join(sets, pairs.b == sets.t).select("a", "b", F.col("found").alias("y"))
     right = scratch.keep(right, "pairs-with-sets")
@@ -212,18 +246,19 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text", block: int = 4096, pivots: int = PIVOTS, crowd: int = CROWD) -> DataFrame:
     """(node, component) of all texts (t) that are linked to another; `prints` as _prefixes gives them."""
-    nodes = scratch.keep(prints.groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    nodes = scratch.keep(prints.groupBy("t").agg(*(F.first(c).alias(c) for c in ("fp", "n", "prefix", "sketch"))), "texts")
+    sketched = nodes.select("t", "n", "sketch")
     distinct = scratch.keep(nodes.groupBy("fp").agg(F.min("t").alias("first")), "distinct")
     one, two = (distinct.select(F.col("fp").alias(f"fp{k}"), F.col("first").alias(c)) for k, c in ((1, "a"), (2, "b")))
     near = simhash.links(distinct.select("fp"), scratch).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     near = near.join(one, F.col("x") == F.col("fp1")).join(two, F.col("y") == F.col("fp2")).select("a", "b")
     equal = nodes.join(distinct.select(F.col("fp").alias("fp_"), F.col("first").alias("a")), F.col("fp") == F.col("fp_")).where("a <> t").select("a", F.col("t").alias("b"))
-    links = [_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), docs, scratch, text_col)]
+    links = [_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), sketched, docs, scratch, text_col)]
 
     keyed = nodes.select("t", "n", F.posexplode("prefix").alias("place", "key"))
     sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
     member = scratch.keep(keyed.join(sizes, "key").select("key", "t", "n", "place", "members"), "members")
-    scratch.drop(sizes, nodes)
+    scratch.drop(sizes)
     found = _labels(links, scratch)
     for seed in range(pivots):
         now = scratch.keep(_labelled(member.where(F.col("members") > crowd), found), "labelled")
@@ -231,8 +266,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
         most = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
         near_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & ((OVER + UNDER) * most >= OVER * (F.col("n") + F.col("m")))
         pairs = now.join(pivot, F.col("key") == F.col("key_")).where((F.col("label") != F.col("own")) & near_size).select("a", F.col("t").alias("b")).distinct()
-        links.append(_confirmed(scratch.keep(pairs, "pivot-pairs"), docs, scratch, text_col))
-        found = _labels(links, scratch)
+        more = _confirmed(scratch.keep(pairs, "pivot-pairs"), sketched, docs, scratch, text_col)
+        if not more.isEmpty():
+            links.append(more)
+            found = _labels(links, scratch)
         scratch.drop(now, pivot)
 
     now = scratch.keep(_labelled(member, found), "labelled")
@@ -242,7 +279,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     dealt = now.join(mixed, F.col("key") == F.col("key_"), "left_semi").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "t").mapInArrow(_pairs, "a long, b long").distinct()
-    links.append(_confirmed(scratch.keep(pairs, "pairs"), docs, scratch, text_col))
+    links.append(_confirmed(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col))
     return _labels(links, scratch)
 
 
