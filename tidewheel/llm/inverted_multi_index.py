@@ -15,10 +15,17 @@ of its halves to the pair, which a heap gives one by one, until the visited cell
   its k + 1 nearest, and those are merged.
 * The cell counts on the driver are bounded by the square of `max_centroids`.
 
-`candidates` is 2 * n ** 0.87 by default. Vectors without structure need that much:
-see the README for recall against brute force.
+How many entries a query visits follows from the data: the sample's own neighbours are
+sought exactly, and `candidates` is the share of entries that has to be visited to find
+`recall` of them, times all entries. Clustered vectors need few; vectors without structure
+need half of all or more (see the README for recall against brute force).
 
-Defined cases: vectors that are null, of another than the commonest length (the
+Cells are made from vectors that are centred and scaled, with what lies far out brought
+near, so that any finite components can be told apart; a cell decides only who is visited.
+Distances are exact, on the original vectors: a matrix product narrows the choice, by no
+more than its proven rounding error allows.
+
+Defined cases: vectors that are null, of another than the table's commonest length (the
 shorter, on a tie), all zero, or with null or non-finite components are neither
 indexed nor queries; null ids take no part; rows of equal id and vector are one;
 ties in distance go to the smaller id; an empty table gives no rows.
@@ -38,15 +45,22 @@ from pyspark.sql import functions as F
 from tidewheel.llm.shared import Scratch
 
 BUCKET_ENTRIES, SAMPLE, MAX_CENTROIDS = 4096, 20_000, 1024
+#: Recall to reach on the sample, and how many of its entries are sought to measure it.
+RECALL, PROBES = 0.95, 400
+#: Where components beyond the sample's usual size are brought to, in units of that size.
+FAR = 64.0
 
 
-def usable(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id and v of the rows that take part, length of their vectors)."""
+def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id and v of the rows that may take part, whatever the length of their vectors."""
     v = F.col("v")
     ok = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok)
+
+
+def commonest_length(rows: DataFrame) -> int:
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return (rows.where(F.size("v") == size.n), size.n) if size else (rows, 0)
+    return size.n if size else 0
 
 
 def entries(rows: DataFrame, ids_kept: int) -> DataFrame:
@@ -103,42 +117,108 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+class Frame:
+    """Where vectors lie for the cells: centred on the sample's medians, in units of their usual distance from them."""
+
+    def __init__(self, sample: np.ndarray) -> None:
+        self.unit = unit_of(sample)
+        scaled = sample * self.unit
+        self.centre = np.median(scaled, axis=0)
+        off = np.abs(scaled - self.centre)
+        usual = np.median(off[off > 0]) if (off > 0).any() else 1.0
+        self.usual = max(usual, 1e-150)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip((vectors * self.unit - self.centre) / self.usual, -FAR, FAR)
+
+
+def unit_of(vectors: np.ndarray) -> float:
+    """A power of two that brings the largest component below 1, and the numbers around it into range."""
+    largest = float(np.abs(vectors).max()) if vectors.size else 1.0
+    return 2.0 ** min(-np.frexp(largest)[1], 1000)
+
+
+def exact(base: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; scaled by a power of two where squares leave its range."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = base - query
+        out = np.sqrt((d * d).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(out) | ((out < 1e-140) & (d != 0).any(axis=1)))
+        for i in odd.tolist():
+            part, back = (d[i], 1.0) if np.isfinite(d[i]).all() else (base[i] / 16 - query / 16, 16.0)
+            unit = unit_of(part)
+            out[i] = np.sqrt(((part * unit) ** 2).sum()) / unit * back
+    return out
+
+
 def nearest(queries: np.ndarray, base: np.ndarray, ids: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k smallest (distance, id), by exact distance; a product only narrows the choice."""
+    """For each query the k smallest (distance, id), by exact distance.
+
+    A product of centred vectors narrows the choice: an entry stays unless its rough squared distance less the rounding
+    error that it can have exceeds the k-th smallest with its own error added.
+    """
     out = []
+    unit = min(unit_of(base), unit_of(queries))
+    centre = np.median(base * unit, axis=0)
+    near_base = base * unit - centre
+    size_base = np.sqrt((near_base * near_base).sum(axis=1))
+    share = 8 * (base.shape[1] + 8) * np.finfo(float).eps
     for lo in range(0, len(queries), 256):
-        rough = squared(queries[lo : lo + 256], base)
-        for q, row in zip(queries[lo : lo + 256], rough):
+        part = queries[lo : lo + 256] * unit - centre
+        size_part = np.sqrt((part * part).sum(axis=1))
+        for q, size, row in zip(queries[lo : lo + 256], size_part, squared(part, near_base)):
+            close = np.arange(len(row))
             if len(row) > k:
-                limit = np.partition(row, k - 1)[k - 1]
-                near = np.flatnonzero(row <= limit * (1 + 1e-9) + 1e-9)
-            else:
-                near = np.arange(len(row))
-            d = base[near] - q
-            exact = np.sqrt((d * d).sum(axis=1))
-            size = np.fromiter((len(ids[x]) for x in near), np.int64, len(near))
-            distance, names = np.repeat(exact, size), np.concatenate([ids[x] for x in near])
+                error = share * (size + size_base) ** 2 + 1e-290
+                limit = np.partition(row + error, k - 1)[k - 1]
+                close = np.flatnonzero(row - error <= limit)
+            distances = exact(base[close], q)
+            count = np.fromiter((len(ids[x]) for x in close), np.int64, len(close))
+            distance, names = np.repeat(distances, count), np.concatenate([ids[x] for x in close])
             best = np.lexsort((names, distance))[:k]
             out.append((names[best], distance[best]))
     return out
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, candidates: int | None = None, sample: int = SAMPLE, bucket_entries: int = BUCKET_ENTRIES, max_centroids: int = MAX_CENTROIDS) -> DataFrame:
+def share_to_visit(sample: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, recall: float, probes: int = PROBES) -> float:
+    """The share of entries that queries visit before they have met `recall` of their k nearest, on the sample."""
+    if len(sample) < 2:
+        return 1.0
+    a, b = halves(sample)
+    to_left, to_right = squared(a, left), squared(b, right)
+    cell_left, cell_right = to_left.argmin(axis=1), to_right.argmin(axis=1)
+    k = min(k, len(sample) - 1)
+    ranks = []
+    for i in range(0, len(sample), -(-len(sample) // probes)):
+        distance = squared(sample[i : i + 1], sample)[0]
+        distance[i] = np.inf
+        order = to_left[i][cell_left] + to_right[i][cell_right]
+        ahead = np.sort(np.delete(order, i))
+        ranks.append(np.searchsorted(ahead, order[np.argpartition(distance, k - 1)[:k]], "right"))
+    return float(np.quantile(np.concatenate(ranks), recall, method="higher")) / (len(sample) - 1)
+
+
+def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, candidates: int | None = None, recall: float = RECALL, sample: int = SAMPLE, bucket_entries: int = BUCKET_ENTRIES, max_centroids: int = MAX_CENTROIDS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k nearest rows of `rows` with another id."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "multi-index")
-    good, size = usable(rows, id_col, vector_col)
-    asked, _ = usable(queries, id_col, vector_col)
-    asked = scratch.keep(asked.where(F.size("v") == size).distinct(), "asked")
+    good = usable(rows, id_col, vector_col)
+    size = commonest_length(good)
+    good = good.where(F.size("v") == size)
+    asked = scratch.keep(usable(queries, id_col, vector_col).where(F.size("v") == size).distinct(), "asked")
     table = scratch.keep(entries(good, k + 1), "entries")
     n = table.count()
     if n == 0:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    wanted = candidates or int(2 * n**0.87) + k + 1
     width = max(1, min(max_centroids, round((n / 8) ** 0.5)))
     fitted = table.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()
-    left, right = (codebook(x, width) for x in halves(matrix(fitted.column(0).combine_chunks())))
-    cells = scratch.keep(_assign(table, left, right), "cells")
+    fitted = matrix(fitted.column(0).combine_chunks())
+    frame = Frame(fitted)
+    fitted = frame(fitted)
+    left, right = (codebook(x, width) for x in halves(fitted))
+    wanted = candidates or int(share_to_visit(fitted, left, right, k, recall) * n) + k + 1
+    cells = scratch.keep(_assign(table, frame, left, right), "cells")
     count = np.zeros(len(left) * len(right), np.int64)
     for r in cells.groupBy("cell").count().collect():  # at most max_centroids ** 2 rows
         count[r["cell"]] = r["count"]
@@ -148,7 +228,7 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     places = spark.createDataFrame(pd.DataFrame({"cell_": np.flatnonzero(count), "home": home[count > 0], "pieces": pieces[count > 0]}))
     dealt = cells.join(F.broadcast(places), F.col("cell") == F.col("cell_")).select((F.col("home") + F.pmod(F.xxhash64("v"), F.col("pieces"))).alias("bucket"), "cell", "v", "ids")
     distinct = scratch.keep(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
-    visits = distinct.mapInArrow(_visits(left, right, count, home, pieces, wanted), "bucket long, q long, v array<double>, cells array<int>")
+    visits = distinct.mapInArrow(_visits(frame, left, right, count, home, pieces, wanted), "bucket long, q long, v array<double>, cells array<int>")
     found = dealt.groupBy("bucket").cogroup(visits.groupBy("bucket")).applyInArrow(_rerank(k + 1), "q long, vec_id long, score double")
     best = found.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("k") <= k + 1)
     best = scratch.keep(best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "near")
@@ -158,24 +238,24 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     return each.select(F.col("vec_id").alias("query_id"), F.posexplode(other)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
 
 
-def _assign(table: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
+def _assign(table: DataFrame, frame: Frame, left: np.ndarray, right: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = halves(matrix(batch.column(0)))
+                a, b = halves(frame(matrix(batch.column(0))))
                 cell = squared(a, left).argmin(axis=1) * len(right) + squared(b, right).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), batch.column(1)], names=["cell", "v", "ids"])
 
     return table.select("v", "ids").mapInArrow(run, "cell int, v array<double>, ids array<long>")
 
 
-def _visits(left: np.ndarray, right: np.ndarray, count: np.ndarray, home: np.ndarray, pieces: np.ndarray, wanted: int):
+def _visits(frame: Frame, left: np.ndarray, right: np.ndarray, count: np.ndarray, home: np.ndarray, pieces: np.ndarray, wanted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = count.tolist()
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                a, b = halves(matrix(part.column(0)))
+                a, b = halves(frame(matrix(part.column(0))))
                 rows, buckets, lists = [], [], []
                 for i, (x, y) in enumerate(zip(squared(a, left), squared(b, right))):
                     cells = np.array(traverse(x, y, sizes, wanted), np.int64)
