@@ -1,8 +1,10 @@
 """License scan by an exact set-similarity join (operator 4).
 
-Every block of `block_lines` consecutive lines is joined with the license templates
-whose containment |template & block| / |template| reaches the threshold; both are
-sets of words. The join is exact:
+Texts are cut into blocks of words: a template of up to L words (L a power of two, at
+least 16) is sought in the blocks of 2 L words that begin at every L-th word, so each place
+of L words lies wholly in one, however its lines are broken. Blocks are joined with the
+license templates whose containment |template & block| / |template| reaches the
+threshold; both are sets of words. The join is exact:
 
 * tokens are ordered by their frequency in all documents, rarest first (one pass
   that counts the templates' tokens, pre-aggregated in each task);
@@ -12,8 +14,11 @@ sets of words. The join is exact:
 * positional filter: after the first common prefix token, at most as many common
   tokens follow as both have tokens behind it in the order.
 
-Blocks that pass are compared in full. The templates and their order, a few hundred
-words fixed here, go to all tasks with the code; blocks are never shuffled.
+Blocks that pass are compared in full. Two kinds of template are confirmed further, as
+sets of a few words say little: short notices (under `short` different words) count at
+a containment of 1 and with their words standing one after another, and licenses with
+like texts have words that must be there, or must not. The templates and their order, some
+hundred words fixed in license_notices, go to all tasks with the code; blocks are never shuffled.
 
 Places of base phrases (words standing consecutively) are found in the same scan.
 
@@ -25,6 +30,7 @@ frequency are ordered by the token; only the id and the text are read.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,38 +39,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bytescan import ALNUM, SpanHash, TextSet, Words, slices, spread
+from tidewheel.llm.license_notices import FOREIGN, NEEDED, NOTICES, PHRASES
 
-#: Base phrases and their labels.
-PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-#: A label and a statement of the license, as its own text or usual notice has it.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-
-OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<line:long,template:int,label:string,containment:double>>"
-MATCH = pa.struct([("line", pa.int64()), ("template", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
+#: Words of a block: at least this many, for templates of up to half as many.
+LEAST_BLOCK = 32
+SHORT = 12
+
+
+def words_of(text: str) -> list[str]:
+    """The words of an ASCII text, as tasks cut them."""
+    return re.findall("[0-9a-z]+", text.lower())
+
+
+OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<word:long,template:int,label:string,containment:double>>"
+MATCH = pa.struct([("word", pa.int64()), ("template", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
 
 
 class Vocabulary:
-    """The words of templates and phrases; ranks order them by frequency, rarest first."""
+    """The words of templates, phrases and conditions; ranks order them by frequency, rarest first."""
 
-    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str]) -> None:
-        self.words = sorted({w for _, t in templates for w in t.split()} | {w for p in phrases for w in p.split()})
+    def __init__(self, templates: list[tuple[str, str]], texts: list[str]) -> None:
+        self.words = sorted({w for t in [*(t for _, t in templates), *texts] for w in words_of(t)})
         self.index = {w: k for k, w in enumerate(self.words)}
 
     def tokens(self, words: Words, texts: TextSet) -> np.ndarray:
@@ -96,79 +91,99 @@ def token_order(docs: DataFrame, vocabulary: Vocabulary) -> list[int]:
 
 
 class Templates:
-    """Templates as sets of ranks, with their prefixes."""
+    """Templates as sets of ranks, with their prefixes; those of one block length together."""
 
-    def __init__(self, templates: list[tuple[str, str]], vocabulary: Vocabulary, order: list[int], threshold: float) -> None:
+    def __init__(self, templates: list[tuple[str, str]], vocabulary: Vocabulary, order: list[int], threshold: float, short: int, needed: dict[str, list[str]], foreign: dict[str, list[str]]) -> None:
         rank = {t: r for r, t in enumerate(order)}
         self.rank = np.array([rank[t] for t in range(len(order))], np.int32)
         self.labels = [label for label, _ in templates]
         self.member = np.zeros((len(templates), len(order)), bool)
         self.least = np.zeros(len(templates), np.int64)
-        self.prefix: dict[int, list[int]] = {}
-        for k, (_, text) in enumerate(templates):
-            ranks = sorted({rank[vocabulary.index[w]] for w in text.split()})
+        self.sequence: list[np.ndarray | None] = []
+        self.needed: list[list[int]] = []
+        self.foreign: list[list[int]] = []
+        self.by_step: dict[int, dict[int, list[int]]] = {}  # words between blocks -> rank of a prefix token -> templates
+        ranks_of = lambda words: [rank[vocabulary.index[w]] for w in words]
+        for k, (label, text) in enumerate(templates):
+            sequence = ranks_of(words_of(text))
+            ranks = sorted(set(sequence))
+            exact = len(ranks) < short
             self.member[k, ranks] = True
-            self.least[k] = math.ceil(threshold * len(ranks) - 1e-9)
+            self.least[k] = len(ranks) if exact else math.ceil(threshold * len(ranks) - 1e-9)
+            self.sequence.append(np.array(sequence) if exact else None)
+            self.needed.append([] if exact else ranks_of(needed.get(label, [])))
+            self.foreign.append([] if exact else ranks_of(foreign.get(label, [])))
+            prefix = self.by_step.setdefault(block_step(len(sequence)), {})
             for r in ranks[: len(ranks) - int(self.least[k]) + 1]:
-                self.prefix.setdefault(r, []).append(k)
+                prefix.setdefault(r, []).append(k)
         self.size = self.member.sum(axis=1)
-        self.is_prefix = np.zeros(len(order), bool)
-        self.is_prefix[list(self.prefix)] = True
-
-
-def matches(words: Words, rank: np.ndarray, t: Templates, block_lines: int) -> list[tuple[int, int, int, float]]:
-    """(document, first line of the block in it, template, containment) of all pairs that reach the threshold."""
-    at = np.flatnonzero(rank >= 0)
-    at = at[t.is_prefix[rank[at]]]
-    if not len(at):
-        return []
-    document = np.searchsorted(words.number, at, "right") - 1
-    first = words.first_line[document]
-    line = words.line[at]
-    starts, tokens = [], []
-    for back in range(block_lines):
-        ok = line - back >= first
-        starts.append(line[ok] - back)
-        tokens.append(rank[at][ok])
-    pairs = np.unique(np.stack([np.concatenate(starts), np.concatenate(tokens)]), axis=1)
-    pairs = np.array([(b, k) for b, r in pairs.T.tolist() for k in t.prefix[r]], np.int64).reshape(-1, 2)
-    pairs = np.unique(pairs, axis=0)
-    document = np.searchsorted(words.first_line, pairs[:, 0], "right") - 1
-    last_line = np.minimum(pairs[:, 0] + block_lines, words.first_line[document + 1])
-    a, b = np.searchsorted(words.line, pairs[:, 0]), np.searchsorted(words.line, last_line)
-    ok = b - a >= t.least[pairs[:, 1]]  # length filter
-    pairs, a, b, document = pairs[ok], a[ok], b[ok], document[ok]
+
+    def confirmed(self, k: int, has: np.ndarray, rank: np.ndarray) -> bool:
+        """What a template asks for besides its containment, of a block's set and sequence of ranks."""
+        if self.sequence[k] is not None:
+            windows = np.lib.stride_tricks.sliding_window_view(rank, len(self.sequence[k]))
+            return bool((windows == self.sequence[k]).all(axis=1).any())
+        return bool(has[self.needed[k]].all() and not has[self.foreign[k]].any())
+
+
+def block_step(words: int) -> int:
+    """How many words apart the blocks begin in which a template of so many words is sought; they are twice as long."""
+    return max(LEAST_BLOCK // 2, 1 << (words - 1).bit_length())
+
+
+def matches(words: Words, rank: np.ndarray, t: Templates) -> list[tuple[int, int, int, float]]:
+    """(document, first word of the block in it, template, containment) of all pairs that reach the threshold."""
     out = []
-    for lo in range(0, len(pairs), 2048):
-        part = slice(lo, lo + 2048)
-        n = b[part] - a[part]
-        has = np.zeros((len(n), len(t.rank)), bool)
-        own, r = np.repeat(np.arange(len(n)), n), rank[spread(a[part], n)]
-        has[own[r >= 0], r[r >= 0]] = True
-        k = pairs[part, 1]
-        common = has & t.member[k]
-        lead = common.argmax(axis=1)
-        behind = np.minimum((t.member[k].sum(axis=1) - np.cumsum(t.member[k], axis=1)[np.arange(len(n)), lead]), (has.sum(axis=1) - np.cumsum(has, axis=1)[np.arange(len(n)), lead]))
-        alive = common.any(axis=1) & (1 + behind >= t.least[k])  # positional filter
-        overlap = common.sum(axis=1)
-        for i in np.flatnonzero(alive & (overlap >= t.least[k])):
-            d = int(document[lo + i])
-            out.append((d, int(pairs[lo + i, 0] - words.first_line[d]), int(k[i]), float(overlap[i] / t.size[k[i]])))
+    count = np.diff(words.number)
+    for step, prefix in t.by_step.items():
+        is_prefix = np.zeros(len(t.rank) + 1, bool)  # the last one is for words outside of the vocabulary, of rank -1
+        is_prefix[list(prefix)] = True
+        at = np.flatnonzero(is_prefix[rank])
+        if not len(at):
+            continue
+        first = np.concatenate([[0], np.cumsum(-(-count // step))])  # of each document's blocks
+        document = np.searchsorted(words.number, at, "right") - 1
+        block = (at - words.number[document]) // step
+        both = np.concatenate([np.stack([first[document] + block, rank[at]]), np.stack([first[document] + block - 1, rank[at]])[:, block > 0]], axis=1)
+        both = np.unique(both, axis=1)
+        pairs = np.unique(np.array([(b, k) for b, r in both.T.tolist() for k in prefix[r]], np.int64).reshape(-1, 2), axis=0)
+        document = np.searchsorted(first, pairs[:, 0], "right") - 1
+        word = (pairs[:, 0] - first[document]) * step
+        a = words.number[document] + word
+        b = np.minimum(a + 2 * step, words.number[document + 1])
+        ok = b - a >= t.least[pairs[:, 1]]  # length filter
+        k_all, a, b, document, word = pairs[ok, 1], a[ok], b[ok], document[ok], word[ok]
+        for lo in range(0, len(k_all), 2048):
+            part = slice(lo, lo + 2048)
+            n = b[part] - a[part]
+            has = np.zeros((len(n), len(t.rank)), bool)
+            own, r = np.repeat(np.arange(len(n)), n), rank[spread(a[part], n)]
+            has[own[r >= 0], r[r >= 0]] = True
+            k = k_all[part]
+            common = has & t.member[k]
+            lead = common.argmax(axis=1)
+            each = np.arange(len(n))
+            behind = np.minimum(t.size[k] - np.cumsum(t.member[k], axis=1)[each, lead], has.sum(axis=1) - np.cumsum(has, axis=1)[each, lead])
+            alive = common.any(axis=1) & (1 + behind >= t.least[k])  # positional filter
+            overlap = common.sum(axis=1)
+            for i in np.flatnonzero(alive & (overlap >= t.least[k])).tolist():
+                if t.confirmed(int(k[i]), has[i], rank[a[lo + i] : b[lo + i]]):
+                    out.append((int(document[lo + i]), int(word[lo + i]), int(k[i]), float(overlap[i] / t.size[k[i]])))
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, block_lines: int = 4) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, short: int = SHORT, needed: dict[str, list[str]] = NEEDED, foreign: dict[str, list[str]] = FOREIGN) -> DataFrame:
     """One row per document: its words, base places, labels, best containment, and all matching blocks."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = Vocabulary(templates, phrases)
-    joined = Templates(templates, vocabulary, token_order(rows, vocabulary), threshold)
+    vocabulary = Vocabulary(templates, [*phrases, *(w for x in (needed, foreign) for words in x.values() for w in words)])
+    joined = Templates(templates, vocabulary, token_order(rows, vocabulary), threshold, short, needed, foreign)
     wanted = [([int(joined.rank[vocabulary.index[w]]) for w in p.split()], label) for p, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = vocabulary.texts()
         for batch in batches:
             for part, raw, ends in slices(batch, "text"):
-                words = Words(raw, ends, ALNUM, lines=True)
+                words = Words(raw, ends, ALNUM)
                 token = vocabulary.tokens(words, texts)
                 rank = np.where(token >= 0, joined.rank[token], -1)
                 n = part.num_rows
@@ -189,10 +204,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                         base[d] += 1
                         base_labels[d].add(label)
                         score[d] = 1.0
-                for d, line, k, share in matches(words, rank, joined, block_lines):
+                for d, word, k, share in matches(words, rank, joined):
                     labels[d].add(joined.labels[k])
                     score[d] = max(score[d], share)
-                    found[d].append({"line": line, "template": k, "label": joined.labels[k], "containment": share})
+                    found[d].append({"word": word, "template": k, "label": joined.labels[k], "containment": share})
                 none = base == 0
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm.licenses import PHRASES, TEMPLATES
+from tidewheel.llm.license_notices import NOTICES
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -45,37 +45,51 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
 
-def _op4(threshold: float = 0.8, block_lines: int = 4) -> str:
-    phrases = ", ".join(f"('{p}', {p.count(' ') + 1}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({k}, '{label}', list_distinct(string_split('{text}', ' ')))" for k, (label, text) in enumerate(TEMPLATES))
+#: Notices that count only as a sequence of words, written out apart from the operator's own.
+_SAID = {
+    "apache-2.0": ["licensed under the apache license", "released under the apache license"],
+    "bsd": ["licensed under the bsd license", "released under the bsd license"],
+    "cc-by": ["creative commons attribution 4 0 international"],
+    "cc-by-nc": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
+    "cc-by-nc-nd": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international"],
+    "cc-by-nc-sa": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international"],
+    "cc-by-nd": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international"],
+    "cc-by-sa": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international"],
+    "lgpl": ["gnu lesser general public license"],
+    "mit": ["distributed under the mit license", "licensed under the mit license", "released under the mit license"],
+}
+_LONG = [(label, text.lower().replace("'", "")) for label, text in NOTICES if len(text) > 100]
+
+
+def _op4() -> str:
+    said = ", ".join(f"('{label}', '{x}')" for label, texts in _SAID.items() for x in texts)
+    long = ", ".join(f"('{label}', regexp_extract_all('{text}', '[0-9a-z]+'))" for label, text in _LONG)
     return rf"""
-WITH d AS (SELECT doc_id, {_LOW} AS t FROM documents),
-dw AS (SELECT doc_id, t, regexp_extract_all(t, {_WORDS}) AS w FROM d),
-phrase(words, size, label) AS (VALUES {phrases}),
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
+phrase(words, size, label) AS (VALUES ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')),
 place AS (
-  SELECT doc_id, i - 1 AS p, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw), phrase
+  SELECT doc_id, i - 1 AS p, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrase
   WHERE array_to_string(w[i:i + size - 1], ' ') = words
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_distinct(list(label)) AS labels FROM place GROUP BY doc_id),
-template(k, label, words) AS (VALUES {templates}),
-lines AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
-block AS (
-  SELECT doc_id, i, list_distinct(regexp_extract_all(array_to_string(l[i:i + {block_lines - 1}], chr(10)), {_WORDS})) AS words
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines)
-),
-pair AS (
-  SELECT doc_id, i, k, label, len(list_intersect(template.words, block.words)) AS common, len(template.words) AS size
-  FROM block, template
-),
+said(label, words) AS (VALUES {said}),
+long_words(label, seq) AS (VALUES {long}),
+long AS (SELECT label, list_distinct(seq) AS words, CASE WHEN len(seq) <= 16 THEN 16 WHEN len(seq) <= 32 THEN 32 WHEN len(seq) <= 64 THEN 64 ELSE 128 END AS step FROM long_words),
+block AS (SELECT doc_id, step, list_slice(w, s + 1, s + 2 * step) AS w FROM (SELECT doc_id, w, step, unnest(range(0, len(w), step)) AS s FROM d, (VALUES (16), (32), (64), (128)) AS steps(step))),
 found AS (
-  SELECT doc_id, list_distinct(list(label)) AS labels, max(common::DOUBLE / size) AS score, count(*) AS n_blocks
-  FROM pair WHERE common >= ceil({threshold} * size - 1e-9) GROUP BY doc_id
-)
+  SELECT doc_id, label, 1.0 AS share FROM block JOIN said ON step = 16 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || words || ' ')
+  UNION ALL
+  SELECT doc_id, label, common::DOUBLE / len(words) AS share
+  FROM (SELECT doc_id, label, words, w, len(list_intersect(words, list_distinct(w))) AS common FROM block JOIN long USING (step) WHERE list_has_any(w, words))
+  WHERE common >= ceil(0.8 * len(words) - 1e-9) AND CASE label WHEN 'agpl' THEN list_contains(w, 'affero') WHEN 'lgpl' THEN list_contains(w, 'lesser')
+    WHEN 'gpl' THEN NOT list_has_any(w, ['affero', 'lesser']) WHEN 'boost' THEN list_contains(w, 'organization') WHEN 'mit' THEN list_contains(w, 'sublicense') ELSE true END
+),
+best AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS score, count(*) AS n_blocks FROM found GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0)::BIGINT AS n_blocks
-FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
