@@ -1,12 +1,17 @@
 """Harmonic packing of token ids into sequences of fixed capacity (operator 9).
 
-Classes have the reciprocal sizes capacity / 1, capacity / 2, capacity / 4, ...: a
-bin of class i takes exactly i pieces. A document is cut into pieces of exactly
-those sizes, largest first, so that a class's bins are full once they have their
-fixed number of pieces. Each task fills the bins of each class by itself, with no
-shuffle; at its end the pieces that are left, largest first, fill further
-sequences, as each size divides the next. What remains then is cut at powers of
-two, which need no padding, so no sequence is padded at all.
+A document fills as many whole sequences as it can; what remains, of length r, belongs to
+the reciprocal class k = capacity // r, that is capacity / (k + 1) < r <= capacity / k. A
+bin of class k takes exactly k remainders, so its place is known without a search, and
+each task fills the bins of all classes by itself, with no shuffle.
+
+k remainders of class k leave up to capacity / (k + 1) of a bin free. As documents may be
+cut, the beginning of the task's next document fills that gap, so bins are full: a bin has
+k + 1 pieces at most, but for documents shorter than the gap, which go in whole. At the end
+of a task the remainders of unfinished bins fill further sequences, cut where one is full,
+and what is left then ends in sequences of powers of two, which need no padding.
+A document has one piece for each sequence it fills, one for its remainder, and one for a
+gap that it fills.
 
 Defined cases: a null text is an empty one and has the end id only; an empty table
 gives no pieces; repeated rows and equal ids are packed as often as they come;
@@ -30,56 +35,65 @@ from tidewheel.llm.encoding import ENCODE_BYTES, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
-FIELDS = 7  # of a piece before it has a place: document, whether that is null, length, start, crc, tokens of the document, number in its task
-
-
-def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, length) of the pieces, document by document and from its start on."""
-    bits = capacity.bit_length() - 1
-    full = lengths >> bits
-    sizes = 1 << np.arange(bits - 1, -1, -1)
-    has = (lengths[:, None] & sizes[None, :]) > 0
-    count = full + has.sum(axis=1)
-    doc = np.repeat(np.arange(len(lengths)), count)
-    rank = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    length = np.full(len(doc), capacity, np.int64)
-    length[rank >= full[doc]] = np.broadcast_to(sizes, has.shape)[has]
-    return doc, np.cumsum(length) - length - (np.cumsum(lengths) - lengths)[doc], length
 
 
 class Bins:
-    """The open bins of one task."""
+    """The open bins of one task. A piece is (name of the document, ids, where they start in it, number of all its ids)."""
 
     def __init__(self, capacity: int, base: int) -> None:
         self.capacity, self.next = capacity, base
-        self.open = {capacity >> k: np.zeros((0, FIELDS), np.int64) for k in range(capacity.bit_length())}
-
-    def add(self, pieces: np.ndarray) -> Iterator[np.ndarray]:
-        """Take pieces; give those whose bins are full now, with sequence and offset."""
-        for size in self.open:
-            waiting = np.concatenate([self.open[size], pieces[pieces[:, 2] == size]])
-            per_bin = self.capacity // size
-            n = len(waiting) // per_bin * per_bin
-            self.open[size] = waiting[n:]
-            if n:
-                at = np.arange(n)
-                yield np.column_stack([waiting[:n], self.next + at // per_bin, at % per_bin * size])
-                self.next += n // per_bin
-
-    def close(self) -> Iterator[np.ndarray]:
-        """The pieces that are left, largest first; sizes divide one another, so prefixes fill sequences exactly."""
-        rest = np.concatenate(list(self.open.values()))
-        if not len(rest):
-            return
-        upto = np.cumsum(rest[:, 2])
-        total = int(upto[-1])
-        bounds = list(range(0, total - total % self.capacity + 1, self.capacity))
-        for k in range(self.capacity.bit_length() - 1, -1, -1):
-            if (total % self.capacity) >> k & 1:
-                bounds.append(bounds[-1] + (1 << k))
-        begin = upto - rest[:, 2]
-        sequence = np.searchsorted(bounds, begin, "right") - 1
-        yield np.column_stack([rest, self.next + sequence, begin - np.asarray(bounds)[sequence]])
+        self.waiting: dict[int, list[tuple]] = {}
+        self.gapped: list[tuple] = []  # a bin with all its remainders, waiting for the beginning of the next document
+        self.room = 0
+
+    def add(self, name: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        """Take a document; give (name, start, ids, ids of the document, sequence, offset) of the pieces whose bins are full now."""
+        n, at = len(ids), 0
+        if self.room:
+            at = min(self.room, n)
+            self.gapped.append((name, ids[:at].copy(), 0, n))
+            self.room -= at
+            if not self.room:
+                yield from self._placed(self.gapped)
+        while n - at >= self.capacity:
+            yield from self._placed([(name, ids[at : at + self.capacity], at, n)])
+            at += self.capacity
+        if at < n:
+            k = self.capacity // (n - at)
+            bin_ = self.waiting.setdefault(k, [])
+            bin_.append((name, ids[at:].copy(), at, n))
+            if len(bin_) == k:
+                del self.waiting[k]
+                room = self.capacity - sum(len(x[1]) for x in bin_)
+                if room:
+                    self.gapped, self.room = bin_, room
+                else:
+                    yield from self._placed(bin_)
+
+    def close(self) -> Iterator[tuple]:
+        """The remainders of unfinished bins, in full sequences and then in powers of two."""
+        rest = [*(self.gapped if self.room else []), *(x for k in sorted(self.waiting) for x in self.waiting[k])]
+        left = sum(len(x[1]) for x in rest)
+        bin_, room = [], 0
+        for name, ids, start, n in rest:
+            at = 0
+            while at < len(ids):
+                if not room:
+                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+                    left -= room
+                take = min(room, len(ids) - at)
+                bin_.append((name, ids[at : at + take], start + at, n))
+                at, room = at + take, room - take
+                if not room:
+                    yield from self._placed(bin_)
+                    bin_ = []
+
+    def _placed(self, pieces: list[tuple]) -> Iterator[tuple]:
+        offset = 0
+        for name, ids, start, n in pieces:
+            yield name, start, ids, n, self.next, offset
+            offset += len(ids)
+        self.next += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -93,39 +107,24 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         raise ValueError("capacity is a power of two")
     schema = ARROW.append(pa.field("ids", pa.binary())) if with_ids else ARROW
 
+    def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
+        name, start, ids, n, sequence, offset = zip(*pieces) if pieces else [()] * 6
+        length = [len(x) for x in ids]
+        columns = [pa.array(c, pa.int64()) for c in (name, start, length, [zlib.crc32(x) for x in ids], n, sequence, offset)]
+        if with_ids:
+            columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
-        held: dict[int, bytes] = {}
-        number = 0
-
-        def placed(rows: np.ndarray) -> pa.RecordBatch:
-            doc = pa.array(rows[:, 0], pa.int64(), mask=rows[:, 1] == 1)
-            columns = [doc, *(pa.array(rows[:, k]) for k in (3, 2, 4, 5, 7, 8))]
-            if with_ids:
-                columns.append(pa.array([held.pop(k) for k in rows[:, 6].tolist()], pa.binary()))
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
         for batch in batches:
             for part, raw, ends in slices(batch, "text", ENCODE_BYTES):
                 flat, each = encode(raw, ends)
                 ids = np.insert(flat, np.cumsum(each), np.uint32(end_id)).astype("<u4")
-                each = each + 1
-                doc, start, length = cut(each, capacity)
-                begin = (np.cumsum(each) - each)[doc] + start
-                view = memoryview(ids).cast("B")
-                spans = list(zip((4 * begin).tolist(), (4 * (begin + length)).tolist()))
-                crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in spans), np.int64, len(spans))
-                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
-                name = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-                if with_ids:
-                    held.update((number + k, bytes(view[a:b])) for k, (a, b) in enumerate(spans))
-                pieces = np.column_stack([name[doc], null[doc].astype(np.int64), length, start, crc, each[doc], number + np.arange(len(doc))])
-                number += len(doc)
-                for rows in bins.add(pieces):
-                    yield placed(rows)
-        for rows in bins.close():
-            yield placed(rows)
+                at = np.concatenate([[0], np.cumsum(each + 1)]).tolist()
+                yield batch_of([piece for name, a, b in zip(part.column(0).to_pylist(), at[:-1], at[1:]) for piece in bins.add(name, ids[a:b])])
+        yield batch_of(list(bins.close()))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
