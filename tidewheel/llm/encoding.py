@@ -36,8 +36,8 @@ SIGN &= ~LETTER
 #: Chunks of more bytes are encoded anew each time; more chunks than this empty the cache.
 CACHED_BYTES, CACHED_CHUNKS = 40, 500_000
 
-#: Text to encode at once: the more, the fewer chunks are looked up.
-ENCODE_BYTES = 8 << 20
+#: Text to encode at once.
+ENCODE_BYTES = 2 << 20
 
 
 class Encoder:

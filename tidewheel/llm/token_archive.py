@@ -12,8 +12,8 @@ repeated tasks leave no half-written block) and works on every store Spark write
 Re-Pair replaces the most frequent pair, again and again. Here a round counts all
 adjacent pairs of a block and replaces up to `pairs_per_round` of the most frequent
 ones at once, left to right without overlap, until no pair occurs `min_count`
-times, the symbols are used up or `max_rounds` are done. A block is compressed by
-itself, in the task that encodes its documents.
+times or the symbols are used up (2 ** 16 in all, if the ids fit in them). A block is
+compressed by itself, in the task that encodes its documents.
 
 Defined cases: a null text has the ids of an empty one (the end id only); a null
 document id sorts first; rows with equal ids keep an order given by their text's
@@ -38,12 +38,13 @@ from tidewheel.llm.shared import Scratch
 
 BLOCK_IDS = 1 << 19
 SYMBOLS = 1 << 16
+PAIRS_PER_ROUND, MIN_COUNT = 4096, 8
 
 BLOCK_SCHEMA = "part int, block int, part_start long, doc_ids array<long>, lengths array<int>, terminals int, n_ids long, rules binary, expansion binary, stream binary"
 BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terminals", pa.int32()), ("n_ids", pa.int64()), ("rules", pa.binary()), ("expansion", pa.binary()), ("stream", pa.binary())])
 
 
-def compress(ids: np.ndarray, terminals: int, pairs_per_round: int = 2048, max_rounds: int = 10, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, terminals: int, pairs_per_round: int = PAIRS_PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs of symbols, ids that each rule stands for, stream)."""
     wide = np.uint64 if terminals >= SYMBOLS else np.uint32
     shift = wide(32 if wide is np.uint64 else 16)
@@ -53,7 +54,7 @@ def compress(ids: np.ndarray, terminals: int, pairs_per_round: int = 2048, max_r
     rules: list[np.ndarray] = []
     used = terminals
     hashed = 20
-    for _ in range(max_rounds):
+    while True:
         room = min(pairs_per_round, limit - used)
         if len(seq) < 2 or room <= 0:
             break
@@ -154,7 +155,7 @@ class Grammar:
         return self.expand(self.stream[a:b])[start - self.upto[a] : stop - self.upto[a]]
 
 
-def write_archive(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
+def write_archive(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS, pairs_per_round: int = PAIRS_PER_ROUND, min_count: int = MIN_COUNT) -> None:
     """Encode every text, append `end_id`, and write the blocks in ascending order of `id_col`."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
         names: list[pa.Array] = []
 
         def block() -> pa.RecordBatch:
-            rules, expansion, stream = compress(np.concatenate(ids), terminals)
+            rules, expansion, stream = compress(np.concatenate(ids), terminals, pairs_per_round, min_count)
             each = np.concatenate(lengths)
             row = [[part], [number], [before], [pa.concat_arrays(names).to_pylist()], [each.astype(np.int32)], [terminals], [held], [rules.tobytes()], [expansion.tobytes()], [stream.tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCK_ARROW)], schema=BLOCK_ARROW)
@@ -188,7 +189,8 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # with the text's hash, a repeated id is no hot partition
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
