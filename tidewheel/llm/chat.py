@@ -11,12 +11,12 @@ feed are written as two characters besides. Loss spans are the places of assista
 texts in the formatted string, in characters.
 
 Turns of a conversation are brought together by a shuffle on its id and sorted by
-turn (then role and text, for repeated turns). A conversation is one row of the
-result, so it is as large as a row may be, and held by one task; conversations
-share tasks only by hash.
+turn (then role and text, for repeated turns). A conversation is one string of the
+result: one task holds it, and beyond 2 GiB, more than a row can have, it is an error. Short
+conversations are formatted by slices of `slice_bytes`.
 
-Defined cases: null role or text is empty; a null turn comes first; rows with a null
-conversation id are one conversation with a null id; repeated rows are turns as
+Defined cases: null role or text is empty; a null turn comes first; a row with a null
+conversation id is a conversation of its own, with a null id; repeated rows are turns as
 often as they come; an empty table gives no rows; other columns are not read.
 """
 
@@ -37,6 +37,9 @@ from tidewheel.llm.bytescan import buffers, spread
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
+#: Bytes of a string, at most.
+LARGEST = (1 << 31) - 1
+
 FORMATTED = "conv_id long, formatted string, n_turns long, loss_spans array<struct<start:long,stop:long>>"
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
@@ -57,6 +60,11 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\([\\n])", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
+def within_a_row(size: int, name: object) -> None:
+    if size > LARGEST:
+        raise ValueError(f"conversation {name} is longer than a row can be")
+
+
 def assemble(roles: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all formatted turns, where each turn starts, where its text starts) for n turns."""
     (role, role_at), (text, text_at) = roles, texts
@@ -76,7 +84,7 @@ def assemble(roles: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.n
     return out, turn, text_start
 
 
-def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant", slice_bytes: int = 16 << 20) -> DataFrame:
     """One row per conversation: conv_id, formatted, n_turns, loss_spans."""
     turns = rows.select(
         F.col(id_col).cast("long").alias("id"),
@@ -87,28 +95,46 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        held: list[pa.RecordBatch] = []  # of one conversation
         for batch in batches:
-            if held is not None and held.num_rows:
-                batch = pa.concat_batches([held, batch])
             if not batch.num_rows:
                 continue
             heads = _heads(batch)
-            whole = int(heads[-1])
-            if whole:
-                yield _formatted(batch.slice(0, whole), heads[:-1])
-            held = batch.slice(whole)
-        if held is not None and held.num_rows:
-            yield _formatted(held, np.zeros(1, np.int64))
+            if held and _same(held[-1], batch):
+                stop = int(heads[1]) if len(heads) > 1 else batch.num_rows
+                held.append(batch.slice(0, stop))
+                batch, heads = batch.slice(stop), heads[1:] - stop
+            if len(heads):
+                if held:
+                    yield _formatted(pa.concat_batches(held), np.zeros(1, np.int64))
+                yield from _sliced(batch.slice(0, int(heads[-1])), heads[:-1])
+                held = [batch.slice(int(heads[-1]))]
+        if held:
+            yield _formatted(pa.concat_batches(held), np.zeros(1, np.int64))
 
     def _heads(batch: pa.RecordBatch) -> np.ndarray:
         null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        return np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (null[1:] != null[:-1])) + 1])
+        return np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | null[1:] | null[:-1]) + 1])
+
+    def _same(before: pa.RecordBatch, batch: pa.RecordBatch) -> bool:
+        a, b = before.column(0)[-1], batch.column(0)[0]
+        return a.is_valid and b.is_valid and a == b
+
+    def _sliced(batch: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        upto = np.cumsum(np.diff(buffers(batch.column(3))[1]) + np.diff(buffers(batch.column(2))[1]))
+        bounds = np.append(heads, batch.num_rows)
+        size = np.append(0, upto)[bounds]
+        first = 0
+        while first < len(heads):
+            stop = max(first + 1, int(np.searchsorted(size, size[first] + slice_bytes, "right")) - 1)
+            yield _formatted(batch.slice(int(bounds[first]), int(bounds[stop] - bounds[first])), heads[first:stop] - heads[first])
+            first = stop
 
     def _formatted(batch: pa.RecordBatch, heads: np.ndarray) -> pa.RecordBatch:
         text = buffers(batch.column(3))
         out, turn, text_start = assemble(buffers(batch.column(2)), text)
+        within_a_row(int(turn[-1]), batch.column(0)[0])
         bounds = np.append(heads, batch.num_rows)
         strings = pa.Array.from_buffers(pa.string(), len(heads), [None, pa.py_buffer(turn[bounds].astype(np.int32)), pa.py_buffer(out)])
         chars = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
@@ -118,7 +144,8 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(loss, bounds), pa.int32()), pa.StructArray.from_arrays([pa.array(chars[begin] - base), pa.array(chars[stop] - base)], fields=list(SPAN)))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), strings, pa.array(np.diff(bounds)), spans], names=["conv_id", "formatted", "n_turns", "loss_spans"])
 
-    return turns.repartition("id").sortWithinPartitions("id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    alone = F.when(F.col("id").isNull(), F.xxhash64("turn", "role", "text"))
+    return turns.repartition("id", alone).sortWithinPartitions("id", "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
