@@ -1,5 +1,6 @@
 """Vectorised kernels against plain versions."""
 
+import math
 import re
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewheel.llm import bytescan, encoding, packing, simhash, token_archive
+from tidewheel.llm import bytescan, encoding, inverted_multi_index, packing, quality, simhash, similar, token_archive
 from tidewheel.llm.line_dedup import deciding_runs
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,29 +110,33 @@ def test_grammar_of_a_large_vocabulary():
     assert np.array_equal(grammar.all(), seq) and len(grammar.stream) < 20
 
 
-@given(st.lists(st.integers(0, 5000), max_size=60), st.sampled_from([1, 2, 64, 1024]), st.integers(1, 5))
+@given(st.lists(st.integers(0, 3), min_size=50, max_size=600), st.integers(2, 9), st.integers(1, 64))
+@settings(max_examples=60, deadline=None)
+def test_no_frequent_pair_is_left(ids, min_count, per_round):
+    _, _, stream = token_archive.compress(np.array(ids * 4, np.uint32), 4, per_round, min_count)
+    _, counts = np.unique(np.stack([stream[:-1], stream[1:]]), axis=1, return_counts=True)
+    assert len(counts) == 0 or counts.max() < min_count
+
+
+@given(st.lists(st.integers(0, 5000), max_size=60), st.sampled_from([1, 2, 64, 1024]))
 @settings(max_examples=100, deadline=None)
-def test_pieces_fill_sequences(lengths, capacity, batches):
-    lengths = np.array(lengths, np.int64)
+def test_pieces_fill_sequences(lengths, capacity):
     bins, rows = packing.Bins(capacity, 0), []
-    for part in np.array_split(np.arange(len(lengths)), batches):
-        doc, start, length = packing.cut(lengths[part], capacity)
-        pieces = np.column_stack([part[doc], 0 * doc, length, start, 0 * doc, lengths[part][doc], 0 * doc])
-        for x in bins.add(pieces):
-            rows += x.tolist()
-    for x in bins.close():
-        rows += x.tolist()
+    for k, n in enumerate(lengths):
+        rows += bins.add(k, np.arange(n, dtype="<u4"))
+    rows += bins.close()
     covered, sequences = {}, {}
-    for doc, _, length, start, _, _, _, sequence, offset in rows:
-        covered.setdefault(doc, []).append((start, length))
-        sequences.setdefault(sequence, []).append((offset, length))
+    for doc, start, ids, n, sequence, offset in rows:
+        assert n == lengths[doc] and ids.tolist() == list(range(start, start + len(ids))) and len(ids)
+        covered.setdefault(doc, []).append((start, len(ids)))
+        sequences.setdefault(sequence, []).append((offset, len(ids)))
     for doc, pieces in covered.items():
         at = 0
         for start, length in sorted(pieces):
             assert start == at
             at += length
         assert at == lengths[doc]
-    assert sum(map(len, covered.values())) == len(rows) and len(covered) == (lengths > 0).sum()
+    assert len(covered) == sum(n > 0 for n in lengths)
     for pieces in sequences.values():
         at = 0
         for offset, length in sorted(pieces):
@@ -140,6 +145,89 @@ def test_pieces_fill_sequences(lengths, capacity, batches):
         assert at == capacity or at & (at - 1) == 0  # nothing is padded
 
 
+def test_pieces_are_few():
+    lengths = np.random.default_rng(4).integers(1, 1500, 5000)
+    bins = packing.Bins(1024, 0)
+    rows = [x for n in lengths for x in bins.add(0, np.zeros(n, "<u4"))] + list(bins.close())
+    sequences = len({x[4] for x in rows})
+    assert sequences <= lengths.sum() / 1024 + 12
+    assert len(rows) <= len(lengths) + 2 * sequences
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 40, 300, 5000):
+        for other in (n, n + n // 5, 3 * n):
+            pool = rng.integers(0, 1 << 63, 2 * (n + other), dtype=np.uint64) * np.uint64(2)
+            a, b = (np.unique(rng.choice(pool, k)) for k in (n, other))
+            x, y = (similar.sketches(h, np.zeros(len(h), np.int64), np.array([len(h)]))[0] for h in (a, b))
+            assert similar.apart(x, y) == similar.apart(y, x) <= len(np.setxor1d(a, b))
+            assert similar.apart(x, x) == 0
+
+
+def plain_objective(x, rows, k, grades, penalty):
+    total = 0.0
+    for own, g in zip(rows, grades):
+        f = x[own].sum()
+        edge = [-np.inf, *x[k:], np.inf]
+        total -= np.log(1 / (1 + np.exp(f - edge[g + 1])) - 1 / (1 + np.exp(f - edge[g])))
+    return total / len(grades) + penalty * np.abs(x[:k]).sum()
+
+
+@pytest.mark.parametrize("seed, n_grades", [(1, 3), (2, 2), (3, 5)])
+def test_ordinal_fit_is_the_least(seed, n_grades):
+    """No point around the fit is lower, and plain steps from elsewhere end at the same value."""
+    rng = np.random.default_rng(seed)
+    k, penalty = 12, 0.01
+    rows = [np.flatnonzero(rng.random(k) < 0.3) for _ in range(150)]
+    truth = rng.normal(size=k) * (rng.random(k) < 0.6)
+    grades = np.clip(np.round([truth[r].sum() + rng.logistic() + 1 for r in rows]), 0, n_grades - 1).astype(int)
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    weights, thresholds = quality.fit(np.concatenate(rows), at, k, grades, n_grades, penalty, tolerance=1e-12, grow=3)
+    assert (np.diff(thresholds) > 0).all()
+    best = np.concatenate([weights, thresholds])
+    least = plain_objective(best, rows, k, grades, penalty)
+    for _ in range(200):
+        assert plain_objective(best + rng.normal(size=len(best)) * rng.choice([1e-3, 1e-2, 0.1]) * (np.arange(len(best)) == rng.integers(len(best))), rows, k, grades, penalty) > least - 1e-6
+    x = np.concatenate([np.zeros(k), np.linspace(-1, 1, n_grades - 1) if n_grades > 2 else [0.0]])
+    for _ in range(4000):  # proximal steps from elsewhere
+        step = 0.4
+        slope = _slopes(x, rows, k, grades)
+        x = x - step * slope
+        x[:k] = np.sign(x[:k]) * np.maximum(np.abs(x[:k]) - step * penalty, 0)
+    assert abs(plain_objective(x, rows, k, grades, penalty) - least) < 2e-3
+
+
+def _slopes(x, rows, k, grades):
+    edge = np.concatenate([[-np.inf], x[k:], [np.inf]])
+    f = np.array([x[r].sum() for r in rows])
+    high, low = 1 / (1 + np.exp(f - edge[grades + 1])), 1 / (1 + np.exp(f - edge[grades]))
+    out = np.zeros(len(x))
+    for r, s in zip(rows, 1 - high - low):
+        out[r] += s
+    for g in range(len(x) - k):
+        out[k + g] += (low * (1 - low) / (high - low))[grades == g + 1].sum() - (high * (1 - high) / (high - low))[grades == g].sum()
+    return out / len(rows)
+
+
+def test_features_see_whole_words():
+    start = "x" * 100
+    one, two = (set(quality.features(*bytescan.buffers(pa.array([t])))[0].tolist()) for t in (start + "a", start + "b"))
+    assert len(one - two) == len(two - one) == 1
+    kana, other = ("日本語の長い文章です" * 3 + x for x in ("甲乙", "丙丁"))
+    one, two = (set(quality.features(*bytescan.buffers(pa.array([t])))[0].tolist()) for t in (kana, other))
+    assert len(one - two) >= 3 and len(one & two) > 8
+
+
+def test_exact_distances_at_any_size():
+    rng = np.random.default_rng(8)
+    for size in (1e-200, 1e-3, 8e6, 1e200):
+        base = (rng.normal(size=(50, 6)) + 1) * size
+        got = inverted_multi_index.exact(base, base[0])
+        want = [math.dist(b, base[0]) for b in base]  # the standard library scales
+        assert np.allclose(got, want, rtol=1e-13, atol=0)
+
+
 @given(st.lists(st.binary(max_size=90), min_size=1, max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_xxh64(parts):

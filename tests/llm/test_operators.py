@@ -1,5 +1,6 @@
 """Operators on small tables with odd rows, against brute-force versions."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tidewheel.llm import chat, components, decontaminate, inverted_multi_index, licenses, line_dedup, packing, quality, queries, simhash, token_archive, warc
+from tidewheel.llm import chat, components, decontaminate, inverted_multi_index, license_notices, licenses, line_dedup, packing, quality, queries, simhash, token_archive, warc
 from tidewheel.llm.shared import Scratch
 from tidewheel.tables import NAMES
 
@@ -197,6 +198,17 @@ def test_token_archive_of_odd_rows(spark, odd, empty, tokenizer):
     assert collected(token_archive.round_trip(empty, queries.tokenizer_path())) == []
 
 
+def test_a_hot_id_is_split(spark):
+    rows = [(7, f"text {k} of a hot id") for k in range(300)] + [(k, "x") for k in range(100)]
+    path = Scratch(spark, "test").path("archive")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_archive.write_archive(documents(spark, rows), path, queries.tokenizer_path())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).where("array_contains(doc_ids, 7)").select("part").distinct().count() > 1
+    ids = [r.doc_id for r in token_archive.read_digests(spark, path).orderBy("start").collect()]
+    assert ids == sorted(ids) and len(ids) == 400
+
+
 def test_token_archive_query(spark, small, tokenizer):
     docs = pq.read_table(f"{small}/documents.parquet").to_pandas().sort_values("doc_id")
     got = queries.op3_token_archive(spark, small).toPandas().sort_values("doc_id")
@@ -235,42 +247,77 @@ def test_packing_of_nothing(empty):
 # 4 licenses
 
 
-def plain_license(text, threshold, lines_in_block):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
-    lines = (text or "").translate(LOW).split("\n")
+def plain_license(text, threshold, short):
+    """(first word of the block, template, containment) of all blocks and templates."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
     found = []
-    for i in range(len(lines)):
-        block = set(words("\n".join(lines[i : i + lines_in_block])))
-        for k, (_, t) in enumerate(licenses.TEMPLATES):
-            own = set(t.split())
-            if len(own & block) >= math.ceil(threshold * len(own) - 1e-9):
-                found.append((i, k, len(own & block) / len(own)))
+    for k, (label, t) in enumerate(license_notices.NOTICES):
+        sequence = re.findall("[a-z0-9]+", t.lower())
+        own, step = set(sequence), 16
+        while step < len(sequence):
+            step *= 2
+        for i in range(0, len(words), step):
+            block = words[i : i + 2 * step]
+            common = len(own & set(block))
+            if len(own) < short:
+                ok = f" {' '.join(sequence)} " in f" {' '.join(block)} "
+            else:
+                ok = common >= math.ceil(threshold * len(own) - 1e-9) and set(license_notices.NEEDED.get(label, [])) <= set(block) and not set(license_notices.FOREIGN.get(label, [])) & set(block)
+            if ok:
+                found.append((i, k, common / len(own)))
     return sorted(found)
 
 
-@pytest.mark.parametrize("threshold, block_lines", [(0.8, 4), (0.5, 1), (0.3, 2), (1.0, 3)])
-def test_license_join_against_all_pairs(spark, odd, threshold, block_lines):
+@pytest.mark.parametrize("threshold, short", [(0.8, 12), (0.5, 1), (0.3, 8), (1.0, 30)])
+def test_license_join_against_all_pairs(spark, odd, threshold, short):
     rng = np.random.default_rng(7)
     rows = []
-    for k in range(60):
-        text = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split()
-        keep = [w for w in text if rng.random() < rng.choice([0.6, 0.85, 1.0])]
+    for k in range(90):
+        text = licenses.words_of(license_notices.NOTICES[k % len(license_notices.NOTICES)][1])
+        share = rng.choice([0.6, 0.85, 1.0, 1.0])
+        keep = [w for w in text if rng.random() < share]
         cut = int(rng.integers(0, len(keep) + 1))
-        rows.append((100 + k, " ".join(["Intro", *keep[:cut]]) + "\n" * int(rng.integers(1, 4)) + " ".join([*keep[cut:], "the", "end"])))
+        rows.append((100 + k, " ".join(["Intro"] * int(rng.integers(1, 60)) + keep[:cut]) + "\n" * int(rng.integers(1, 4)) + " ".join([*keep[cut:], "the", "end"])))
     frame = documents(spark, rows).unionByName(odd)
-    texts = {}
-    for r in frame.collect():
-        texts.setdefault((r.doc_id, len(r.text or "")), r.text)
-    got = licenses.scan(frame.withColumn("labels", F.lit(1)).withColumn("n_words", F.lit(2)), threshold=threshold, block_lines=block_lines).toPandas()
-    assert len(got) == 71
+    got = licenses.scan(frame.withColumn("labels", F.lit(1)).withColumn("n_words", F.lit(2)), threshold=threshold, short=short).toPandas()
+    assert len(got) == 101
+    texts, hits = dict(rows), 0
     for r in got[got.doc_id >= 100].itertuples():
-        text = next(t for (i, _), t in texts.items() if i == r.doc_id)
-        assert sorted((m["line"], m["template"], m["containment"]) for m in r.matches) == plain_license(text, threshold, block_lines)
+        found = sorted((m["word"], m["template"], m["containment"]) for m in r.matches)
+        assert found == plain_license(texts[r.doc_id], threshold, short)
+        hits += len(found)
+    assert hits > 30
     base = got[(got.doc_id == 7) & (got.n_base > 0)].iloc[0]
     assert (base.n_base, base.first_word, base.last_word, base.base_labels, base.score) == (3, 0, 5, "cc-by,reserved", 1.0)
     assert got[got.doc_id == 3].n_words.tolist() == [0]
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by,cc-by-nc-sa"),
+        ("Released under the Apache License", "apache-2.0"),
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("The license was released under pressure; the mit students left.", ""),
+        ("Released under the MIT License.", "mit"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("by the same authors, under a license of the general public", ""),
+        ("Permission is granted to use the software for any purpose", ""),
+    ],
+)
+def test_license_labels(spark, text, labels):
+    assert licenses.scan(documents(spark, [(1, "Some words.\n" + text + "\nMore.")])).first().labels == labels
+
+
+def test_like_license_texts_are_told_apart(spark):
+    notices = [(k, label, text) for k, (label, text) in enumerate(license_notices.NOTICES) if len(text) > 100]
+    wrapped = [(k, "\n\n".join(" ".join(text.split()[i : i + 5]) for i in range(0, len(text.split()), 5))) for k, _, text in notices]
+    got = {r.doc_id: set(r.labels.split(",")) - {"gpl"} for r in licenses.scan(documents(spark, wrapped)).collect()}
+    assert got == {k: {label} - {"gpl"} for k, label, _ in notices}  # the base phrase marks lgpl and agpl texts as gpl, too
+
+
 def test_license_scan_of_nothing(empty):
     assert collected(licenses.scan(empty)) == []
 
@@ -312,6 +359,34 @@ def test_neighbours_of_odd_rows(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in inverted_multi_index.search(two, two).collect()) == [(0, 1, 40), (40, 1, 0)]
 
 
+@pytest.mark.parametrize("centre, spread", [(8e6, 1e-2), (1e200, 1e199), (0.0, 1e-150)])
+def test_neighbours_at_any_size(spark, centre, spread):
+    rng = np.random.default_rng(9)
+    x = centre + rng.normal(size=(120, 5)) * spread
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = inverted_multi_index.search(frame, frame.where("vec_id % 10 = 0"), candidates=10_000, bucket_entries=32).toPandas()
+    assert sorted(got.query_id.unique()) == list(range(0, 120, 10))
+    for q, own in got.groupby("query_id"):
+        near = sorted((math.dist(x[k], x[q]), k) for k in range(120) if k != q)[:10]
+        assert own.sort_values("rank").vec_id.tolist() == [k for _, k in near]
+        assert np.allclose(own.sort_values("rank").score, [d for d, _ in near], rtol=1e-12, atol=0)
+
+
+def test_queries_of_other_lengths_do_not_decide(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(1, 20)] + [(100, [1.5, 1.0]), (200, [1.0]), (300, [2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = inverted_multi_index.search(frame, frame.where("vec_id >= 100"), k=2).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(100, 1, 0.5), (100, 2, 0.5)]
+
+
+def test_few_candidates_in_clusters(spark):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(40, 8)) * 10, 100, axis=0) + rng.normal(size=(4000, 8)) * 0.1
+    frame = inverted_multi_index.Frame(x)
+    left, right = (inverted_multi_index.codebook(h, 22) for h in inverted_multi_index.halves(frame(x)))
+    assert inverted_multi_index.share_to_visit(frame(x), left, right, 10, 0.95) < 0.2
+
+
 # 6 chat
 
 
@@ -335,12 +410,34 @@ def test_chat_of_odd_rows(spark):
     assert collected(chat.read_chats(chat.format_chats(frame.where("false")))) == []
 
 
+def test_long_conversations_and_rows_without_one(spark):
+    turns = [(1, k, "user" if k % 2 else "assistant", f"t{k} " * 30) for k in range(400)]
+    rows = turns + [(k, 0, "user", "short") for k in range(2, 60)] + [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = chat.read_chats(chat.format_chats(frame, slice_bytes=100)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1)] * 3 + [(1, 400)] + [(k, 1) for k in range(2, 60)]
+    one = next(r for r in got if r.conv_id == 1)
+    assert one.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
+
+
+def test_a_conversation_too_long_for_a_row():
+    chat.within_a_row((1 << 31) - 1, 1)
+    with pytest.raises(ValueError, match="longer than a row"):
+        chat.within_a_row(1 << 31, 1)
+
+
 # 7 decontamination
 
 
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, RUN), (2, "All RIGHTS"), (3, None), (4, " ... "), (None, "x Y"), (1, "three four five six seven eight nine ten eleven word")], "item_id long, text string")
     frame = odd.withColumn("hit", F.lit("clash"))
+    clash = decontaminate.scan(frame, bench)
+    assert clash.columns == [*frame.columns, "hit_"] and clash.where("hit = 'clash' and size(hit_.spans) > 0").count() > 2
     got = decontaminate.scan(frame.drop("hit"), bench).collect()
     by = {}
     for r in got:
@@ -348,7 +445,7 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     assert by[1] == [(23, [(0, 11), (12, 23)], ["1"])]
     assert by[2] == [(13, [(0, 13)], ["", "1"])] * 2
     assert by[3] == [(0, [], [])] and (6, [(0, 2)], ["2"]) in [(n, s, i) for n, s, i in by[7]] or by[7]
-    blocks = decontaminate.scan(odd, bench, broadcast_bytes=40).collect()
+    blocks = decontaminate.scan(odd, bench.union(bench), broadcast_bytes=40).collect()
     assert sorted(map(repr, ((r.doc_id, r.hit) for r in blocks))) == sorted(map(repr, ((r.doc_id, r.hit) for r in got)))
     kept = decontaminate.drop_documents(frame, bench)
     assert kept.columns == frame.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 4, None, 5, 6, 7], key=repr)
@@ -376,6 +473,40 @@ def test_warc_of_odd_rows(spark):
     assert digests[2] == base64.b32encode(hashlib.sha1(b"same").digest()).decode()
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(k, f"u{k}", f"page {k % 40} " * 200) for k in range(100)] + [(100, "big", "".join(map(chr, np.random.default_rng(3).integers(97, 123, 20_000_000))))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "archive")
+    warc.write_archive(frame, path, file_bytes=20_000)
+    files = [p.read_bytes() for p in (tmp_path / "archive").glob("part-*")]
+    assert len(files) > 2 and sorted(map(len, files))[-2] < 21_000
+    types = []
+    for content in files:
+        assert gzip.decompress(content).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        first = zlib.decompressobj(31)
+        assert first.decompress(content).count(b"WARC/1.1") == 1 and first.eof  # the first member is the first record
+        found = [(h["WARC-Type"], h["WARC-Record-ID"]) for h, _ in warc.records(content)]
+        assert found[0][0] == "warcinfo"
+        types += found
+    assert len({x for _, x in types}) == len(types)
+    assert sum(t == "response" for t, _ in types) == 41 and sum(t == "revisit" for t, _ in types) == 60
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records(files[0][:-30]))
+
+
+def test_a_revisit_without_its_response_is_an_error(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a", "same"), (2, "b", "same")], "page_id long, url string, html string")
+    scratch = Scratch(spark, "test")
+    warc.write_archive(frame.coalesce(1), str(tmp_path / "a"), file_bytes=1)
+    lone = tmp_path / "lone"
+    lone.mkdir()
+    for p in (tmp_path / "a").glob("part-*"):
+        if b"revisit" in gzip.decompress(p.read_bytes()):
+            (lone / p.name).write_bytes(p.read_bytes())
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.read_pages(spark, str(lone), scratch).collect()
+
+
 def test_warc_many_revisits(spark):
     rows = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("html"))
     got = warc.round_trip(rows).toPandas()
@@ -417,7 +548,16 @@ def test_the_sample_is_bounded(spark, small):
     docs, grades = spark.read.parquet(f"{small}/documents.parquet"), quality.grades_of(spark.read.parquet(f"{small}/labels.parquet"))
     a, b = (quality.train(frame, grades, 3, max_fit=20) for frame in (docs, docs.union(docs)))  # repeated rows change nothing
     assert np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights)
-    assert quality.train(docs, grades, 3, max_bytes=0).keys.size == 0
+
+
+def test_a_very_long_rated_text_changes_little(spark):
+    """Its own words have no weight, as no other document has them, and nothing else is left out."""
+    rows = [(k, f"good text number {k} fine words here") for k in range(20)] + [(100 + k, f"bad spam {k} buy now cheap") for k in range(20)]
+    ratings = spark.createDataFrame([(i, 2 if i < 100 else 1) for i, _ in rows] + [(7777, 2)], "doc_id long, grade int")
+    short = quality.train(documents(spark, rows + [(7777, "good text fine words here")]), ratings, 3)
+    long = quality.train(documents(spark, rows + [(7777, "good text fine words here " + " ".join(f"u{k}" for k in range(300_000)))]), ratings, 3)
+    assert {f"{k}": round(w, 1) for k, w in zip(short.keys, short.weights)}.keys() & {f"{k}" for k in long.keys}
+    assert np.abs(long.weights).max() < 3 * np.abs(short.weights).max() and len(long.keys) < 60
 
 
 # pipeline
