@@ -4,8 +4,8 @@ A document is the set of its five-word shingles (64-bit hashes; fewer words are
 shingle). Two documents are linked if their sets' Jaccard similarity is 0.8 or more;
 documents linked over any number of links are one component. No link is lost:
 
-* Shingles have one fixed order, in which those seen often in a sample of the
-  documents come last; a sample moves the cost, and any order gives the same links. In
+* Shingles have one fixed order, in which those seen twice or more in half of the
+  documents come last; a count moves the cost, and any order gives the same links. In
   that order, two linked sets share one of the n - ceil(0.8 n) + 1 first shingles
   (prefix filter), so each of these is a key.
 * First, SimHash links (radius 2) and a few members of each crowded key (pivots) give
@@ -41,8 +41,8 @@ from tidewheel.llm.shared import Scratch
 
 #: Words in a shingle; similarity as a fraction.
 SHINGLE, OVER, UNDER = 5, 4, 5
-#: One document of so many is counted to find frequent shingles, of which the most frequent come last in the order.
-SAMPLE, SEEN, FREQUENT = 16, 3, 1 << 17
+#: One document of so many is counted to find shingles that are not rare, of which the most frequent come last in the order.
+SAMPLE, SEEN, FREQUENT = 2, 2, 1 << 20
 PIVOTS = 2
 #: Keys of more members have pivots first; texts up to this number are sought by broadcast (8 bytes each).
 CROWD, BROADCAST_TEXTS = 64, 1_000_000
@@ -89,23 +89,27 @@ def _text(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Hashes seen in at least SEEN sampled documents, rarest first; the order only, never the result, depends on them."""
+    """Halves of hashes seen in at least SEEN sampled documents, rarest first; the order only, never the result, depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, ends in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(Words(raw, ends, NON_BLANK))[0].view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_half(shingles_of(Words(raw, ends, NON_BLANK))[0]).view(np.int32))], names=["h"])
 
     some = _text(docs, text_col).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0)
-    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    counted = some.mapInArrow(run, "h int").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    return top.column("h").to_numpy()[::-1].view(np.uint64).copy()
+    return top.column("h").to_numpy()[::-1].view(np.uint32).copy()
+
+
+def _half(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t, fp (of the shingles), n (size of the set), prefix and sketch, for all rows."""
     by_hash = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.int64) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.int32) + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +121,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                 h, owner = distinct_of(every, shingles)
                 rank = np.zeros(len(h), np.int64)
                 if len(keys):
-                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    rank = np.where(keys[place] == h, ranks[place], 0)
+                    own = _half(h)
+                    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    rank = np.where(keys[place] == own, ranks[place], 0)
                 n = np.bincount(owner, minlength=part.num_rows)
                 sketch = pa.array(sketches(h, owner, n), pa.binary())
                 h = h[np.lexsort((h, rank, owner))]
