@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -221,3 +223,24 @@ def geometry_dimension(code: Column) -> Column:
 def blank_padded(column: Column) -> Column:
     """A char value: trailing blanks do not count in comparisons, grouping and joins."""
     return F.collate(column, "UTF8_BINARY_RTRIM")
+
+
+def display(column: Column, form: str) -> Column:
+    """A value in a display format: iW whole numbers and fW.D numbers to the right, eW.D in powers of ten, cW texts to the left.
+
+    W is the width; 0 is as wide as the value. A number that is wider is shown as stars, a longer text is cut.
+    """
+    found = re.fullmatch(r"([ifec])(\d+)(?:\.(\d+))?", form)
+    if not found:
+        raise ValueError(f"no such format: {form}")
+    kind, width, places = found[1], int(found[2]), int(found[3] or 0)
+    if kind == "c":
+        text = column.cast("string")
+        return F.rpad(F.left(text, F.lit(width)), width, " ") if width else text
+    if kind == "i":
+        text = F.round(column.cast("decimal(38,6)"), 0).cast("decimal(38,0)").cast("string")
+    elif kind == "f":
+        text = column.cast(f"decimal(38,{places})").cast("string")
+    else:
+        text = F.format_string(f"%.{places}e", column.cast("double"))
+    return F.when(F.length(text) > width, F.lit("*" * width)).otherwise(F.lpad(text, width, " ")) if width else text

@@ -56,7 +56,10 @@ def checksum_adler32(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", S.checksum(F.col("p_name")).alias("checksum"))
 
 
-@plans.query()
+@plans.query("""
+WITH b AS (SELECT p_partkey, flatten([[('0x' || substr(hex(encode(p_name)), 2 * i - 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, strlen(p_name) + 1)]) AS steps FROM part)
+SELECT p_partkey, xor(list_reduce(list_prepend(4294967295::BIGINT, steps), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) AS hash FROM b
+""")
 def hash_crc32(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", S.hash_value(F.col("p_name")).alias("hash"))
 
@@ -126,10 +129,10 @@ def num_money(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "supplier").select("s_suppkey", m.cast("string").alias("money"), S.money(m * 3).cast("string").alias("thrice"), S.money_compare(m, F.lit(5000)).alias("cmp"))
 
 
-@plans.query("SELECT o_orderkey, (o_totalprice::DECIMAL(12,2) / 7)::DECIMAL(18,6)::VARCHAR AS seventh, (o_totalprice::DECIMAL(12,2) * 1.075)::DECIMAL(18,5)::VARCHAR AS taxed FROM orders")
+@plans.query("SELECT o_orderkey, (n // 1000000)::VARCHAR || '.' || lpad((n % 1000000)::VARCHAR, 6, '0') AS seventh, taxed FROM (SELECT o_orderkey, (((o_totalprice::DECIMAL(12,2) * 100)::BIGINT * 20000 + 7) // 14)::BIGINT AS n, (o_totalprice::DECIMAL(12,2) * 1.075)::DECIMAL(18,5)::VARCHAR AS taxed FROM orders)")
 def num_decimal(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("o_totalprice").cast("decimal(12,2)")
-    seventh = F.expr("cast(cast(o_totalprice as decimal(12,2)) as double) / 7").cast("decimal(18,6)")
+    seventh = (v / F.lit(7).cast("decimal(1,0)")).cast("decimal(18,6)")  # a decimal quotient of six places, rounded half up
     return load(spark, d, "orders").select("o_orderkey", seventh.cast("string").alias("seventh"), (v * F.lit("1.075").cast("decimal(4,3)")).cast("decimal(18,5)").cast("string").alias("taxed"))
 
 
@@ -181,12 +184,27 @@ def date_components(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", *(c[f].cast("long").alias(n) for f, n in (("year", "y"), ("month", "m"), ("day", "dd"), ("hour", "h"), ("minute", "mi"), ("second", "s"))))
 
 
-@plans.query("SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c, NULL::DATE AS empty FROM orders")
+_DATE_FORMS = ["dd-MMM-yyyy", "MMM/dd/yyyy", "yyyy_MM_dd", "MMMM dd, yyyy", "MM-dd-yy", "MM/dd/yy", "dd-MMM-yy", "yyyy/MM/dd", "M-d-yyyy", "MMM d, yyyy"]
+
+
+@plans.query(f"SELECT o_orderkey, {', '.join(f'o_orderdate::DATE AS f{k}' for k in range(len(_DATE_FORMS)))}, NULL::DATE AS empty FROM orders")
 def date_literal_forms(spark: SparkSession, d: str) -> DataFrame:
     """Dates written in several forms, and read again."""
-    form = lambda f: F.date_format("o_orderdate", f)
     o = load(spark, d, "orders")
-    return o.select("o_orderkey", dates.parse_date(F.lower(form("dd-MMM-yyyy"))).alias("a"), dates.parse_date(F.upper(form("MMM/dd/yyyy"))).alias("b"), dates.parse_date(form("yyyy_MM_dd")).alias("c"), dates.parse_date(F.lit(" ")).alias("empty"))
+    read = lambda k, f: dates.parse_date((F.lower, F.upper)[k % 2](F.date_format("o_orderdate", f))).alias(f"f{k}")
+    return o.select("o_orderkey", *(read(k, f) for k, f in enumerate(_DATE_FORMS)), dates.parse_date(F.lit(" ")).alias("empty"))
+
+
+@plans.query("""
+SELECT event_id, (epoch_us(ts - date_trunc('day', ts)) // 1000000)::DOUBLE AS clock, (hour(ts) * 3600 + minute(ts) * 60)::DOUBLE AS half,
+  (event_id % 9) * 12 + event_id % 5 AS months, ((event_id % 40) * 86400 + (event_id % 11) * 3600 + 30)::DOUBLE AS seconds, ts::DATE AS day FROM events
+""")
+def date_input_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Times, intervals and dates in a text, read by the type that is asked for."""
+    k, text = F.col("event_id"), lambda n: F.col("event_id").cast("long") % n
+    span = F.concat_ws(" ", text(9).cast("string"), F.lit("yrs"), text(5).cast("string"), F.lit("mos"), text(40).cast("string"), F.lit("days"), text(11).cast("string"), F.lit("hrs 30 secs"))
+    found = dates.parse_as("interval", span)
+    return load(spark, d, "events").select(k, dates.parse_as("time", F.date_format("ts", "HH:mm:ss")).alias("clock"), dates.parse_as("time", F.date_format("ts", "hh:mm a")).alias("half"), found["months"].alias("months"), found["seconds"].alias("seconds"), dates.parse_as("date", F.date_format("ts", "dd-MMM-yyyy")).alias("day"))
 
 
 @plans.query("SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS kind, count(*) AS n FROM orders GROUP BY ALL")
@@ -279,11 +297,12 @@ def uuid_values(spark: SparkSession, d: str) -> DataFrame:
     return u.agg(F.count("*").alias("n"), F.count_distinct("u").alias("distinct_ids"), F.max(F.length("u")).cast("long").alias("width"))
 
 
-@plans.query("SELECT c_custkey, c_name FROM customer")
+@plans.query("SELECT c_custkey, c_name, true AS hidden, 28 + strlen(c_name) AS sealed_bytes FROM customer")
 def encrypt_decrypt(spark: SparkSession, d: str) -> DataFrame:
     key = F.lit("0123456789abcdef")
-    sealed = load(spark, d, "customer").select("c_custkey", F.aes_encrypt("c_name", key).alias("sealed"))
-    return sealed.select("c_custkey", F.aes_decrypt("sealed", key).cast("string").alias("c_name"))
+    sealed = load(spark, d, "customer").select("c_custkey", "c_name", F.aes_encrypt("c_name", key).alias("sealed"))
+    hidden = F.instr(F.hex("sealed"), F.hex("c_name")) == 0
+    return sealed.select("c_custkey", F.aes_decrypt("sealed", key).cast("string").alias("c_name"), hidden.alias("hidden"), F.octet_length("sealed").cast("long").alias("sealed_bytes"))
 
 
 @plans.query("SELECT count(*) AS n, 0::BIGINT AS outside FROM lineitem")
@@ -292,9 +311,27 @@ def random_values(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.count_if((F.col("r") < 0) | (F.col("r") >= 1)).alias("outside"))
 
 
-@plans.query("SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS key, format('{:,.2f}', o_totalprice::DECIMAL(12,2)::DOUBLE) AS price FROM orders")
+@plans.query("""
+SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS key, format('{:,.2f}', o_totalprice::DECIMAL(12,2)::DOUBLE) AS price, printf('%8d', o_orderkey) AS i8,
+  CASE WHEN length(printf('%.1f', o_totalprice::DECIMAL(12,2)::DECIMAL(12,1)::DOUBLE)) > 9 THEN '*********' ELSE printf('%9s', o_totalprice::DECIMAL(12,2)::DECIMAL(12,1)::VARCHAR) END AS f9, rpad(left(o_orderpriority, 4), 4, ' ') AS c4, o_orderpriority AS c0
+FROM orders
+""")
 def display_formats(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"), F.format_number(F.col("o_totalprice").cast("decimal(12,2)"), 2).alias("price"))
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    return load(spark, d, "orders").select(
+        "o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"), F.format_number(price, 2).alias("price"), S.display(F.col("o_orderkey"), "i8").alias("i8"), S.display(price, "f9.1").alias("f9"), S.display(F.col("o_orderpriority"), "c4").alias("c4"), S.display(F.col("o_orderpriority"), "c0").alias("c0")
+    )
+
+
+@plans.query("""
+SELECT vec_id, round(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding]), 6) AS squares, len([x FOR x IN embedding IF x > 0])::BIGINT AS positive, len(embedding) > 0 AND list_bool_or([x > 0.1 FOR x IN embedding]) AS some,
+  {'low': round(list_min(embedding)::DOUBLE, 6), 'high': round(list_max(embedding)::DOUBLE, 6)}['high'] AS high FROM embeddings
+""")
+def ext_arrays_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: not from the reference. Higher-order functions and maps."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    extremes = F.create_map(F.lit("low"), F.array_min(e), F.lit("high"), F.array_max(e))
+    return load(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x), 6).alias("squares"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"), F.exists("embedding", lambda x: x > 0.1).alias("some"), F.round(F.element_at(extremes, "high"), 6).alias("high"))
 
 
 @plans.query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(props)::BIGINT AS n FROM events")
