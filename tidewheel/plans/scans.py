@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators import dml
@@ -68,6 +68,23 @@ def copy_roundtrip_ssv(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, "ssv")
 
 
+@plans.query(_PARTS)
+def copy_roundtrip_nl(spark: SparkSession, d: str) -> DataFrame:
+    """A value a line."""
+    return _round_trip(spark, d, "nl")
+
+
+def _split_lines(rows):
+    for row in rows:
+        yield tuple(row["line"].split("|"))
+
+
+@plans.query("SELECT o_orderkey, o_orderpriority, o_orderkey % 7 AS k FROM orders")
+def copy_from_program(spark: SparkSession, d: str) -> DataFrame:
+    lines = load(spark, d, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority", (F.col("o_orderkey") % 7).cast("string")).alias("line"))
+    return copy.copy_from_program(lines, _split_lines, [copy.Field("o_orderkey", "long"), copy.Field("o_orderpriority"), copy.Field("k", "long")])
+
+
 @plans.query("SELECT p_partkey, p_size FROM part")
 def copy_dummy_columns(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "copy-dummy")
@@ -89,11 +106,25 @@ def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return copy.read_xml(spark, path, rows.schema)
 
 
-@plans.query("SELECT count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM orders")
+@plans.query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def unload_reload(spark: SparkSession, d: str) -> DataFrame:
     for statement in copy.unload(spark, {"orders_unloaded": load(spark, d, "orders")}, new_path(spark, "unload")):
         spark.sql(statement)
-    return spark.sql("SELECT count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM orders_unloaded")
+    return spark.sql("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders_unloaded")
+
+
+@plans.query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 2000")
+def remote_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A table of another database, by JDBC: the filter is the other side's, and tasks read by ranges of the key.
+
+    The other database here is the embedded one that Spark brings along, in the memory of a local session.
+    """
+    name = "remote_" + new_path(spark, "db").rsplit("-", 1)[1]
+    url, driver = f"jdbc:derby:memory:{name};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    load(spark, d, "supplier").write.format("jdbc").options(url=url, driver=driver, dbtable="supplier").save()
+    bounds = load(spark, d, "supplier").agg(F.min("s_suppkey").alias("low"), F.max("s_suppkey").alias("high")).first()
+    remote = copy.register_import(spark, "remote_supplier", "supplier", "jdbc", url=url, driver=driver, partitionColumn="s_suppkey", lowerBound=str(bounds.low), upperBound=str(bounds.high), numPartitions="4")
+    return remote.where("s_acctbal > 2000").select("s_suppkey", "s_name", "s_acctbal")
 
 
 @plans.query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -152,6 +183,37 @@ def modify_structure(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+@plans.query("SELECT 'hash' AS structure, count(*) AS n, 0::BIGINT AS keys_in_several_files, NULL::BIGINT AS overlapping_files FROM orders UNION ALL SELECT 'isam', count(*), 0, 0 FROM orders UNION ALL SELECT 'truncated', 0, 0, NULL")
+def modify_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """What a layout promises: a key's rows in one file, and for isam files whose key ranges do not overlap."""
+    out = None
+    for structure in ("hash", "isam", "truncated"):
+        path = new_path(spark, structure)
+        dml.modify(load(spark, d, "orders").select("o_orderkey", "o_custkey"), path, structure, ["o_custkey"], 4)
+        rows = spark.read.schema("o_orderkey long, o_custkey long").parquet(path).select("o_custkey", F.input_file_name().alias("file"))
+        spread = rows.groupBy("o_custkey").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"))
+        found = spread.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("files") > 1).alias("keys_in_several_files"))
+        files = rows.groupBy("file").agg(F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
+        after = F.lag("high").over(Window.orderBy("low"))
+        overlaps = files.select((F.col("low") <= after).alias("o")).agg(F.count_if("o").alias("overlapping_files"))
+        one = found.crossJoin(overlaps).select(F.lit(structure).alias("structure"), "n", "keys_in_several_files", F.when(F.lit(structure == "isam"), F.col("overlapping_files")).alias("overlapping_files"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@plans.query("""
+SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN upper(s_name) ELSE s_name END AS s_name
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+""")
+def update_from_repeated_source(spark: SparkSession, d: str) -> DataFrame:
+    """Source rows that repeat a key are no error where they meet no target row."""
+    nation = load(spark, d, "nation")
+    source = nation.where("n_regionkey = 1").select("n_nationkey", "n_name")
+    strange = nation.select((F.col("n_nationkey") + 1000).alias("n_nationkey"), "n_name")
+    updated = dml.update_from(load(spark, d, "supplier"), source.unionByName(strange).unionByName(strange), {"s_nationkey": "n_nationkey"}, {"s_name": F.upper("s_name")})
+    return updated.select("s_suppkey", "s_name")
+
+
 @plans.query("SELECT r_name, count(*) AS n_nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL")
 def view_over_join(spark: SparkSession, d: str) -> DataFrame:
     joined = load(spark, d, "region").join(load(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
