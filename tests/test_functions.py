@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import zlib
 
 import pytest
@@ -107,11 +108,36 @@ def test_intervals(spark):
     assert values(frame, dates.subtract(F.col("t"), "7 days")) == [dt.datetime(2024, 1, 24)]
 
 
-@pytest.mark.parametrize("text", ["10-nov-1991", "10/NOV/1991", "NOV/10/1991", "11/10/1991", "1991-11-10", "1991.11.10", "1991_11_10", "19911110", " 10-Nov-1991 "])
+@pytest.mark.parametrize("text", ["10-nov-1991", "10/NOV/1991", "NOV/10/1991", "11/10/1991", "1991-11-10", "1991.11.10", "1991_11_10", "19911110", " 10-Nov-1991 ", "NOV-10-1991", "11-10-91", "11/10/91", "10-NOV-91", "10/nov/91", "91/11/10", "NOVEMBER 10, 1991", "november 10, 1991", "Nov 10, 1991", "111091"])
 def test_date_forms(spark, text):
     assert values(spark.createDataFrame([(text,)], "s string"), dates.parse_date(F.col("s"))) == [dt.date(1991, 11, 10)]
 
 
+def test_years_of_two_digits_and_single_digits(spark):
+    frame = spark.createDataFrame([("1-2-03",), ("1-2-1993",), ("jan 5, 2020",), ("12/31/50",), ("12/31/49",), ("13/31/49",)], "s string")
+    got = values(frame, dates.parse_date(F.col("s")))
+    assert got == [dt.date(2003, 1, 2), dt.date(1993, 1, 2), dt.date(2020, 1, 5), dt.date(1950, 12, 31), dt.date(2049, 12, 31), None]
+
+
+def test_times_and_spans(spark):
+    frame = spark.createDataFrame([("9:05",), ("12:00:01 am",), ("12:30 PM",), ("23:59:59.5",), ("24:00",), ("13:00 pm",), ("x",)], "s string")
+    assert values(frame, dates.parse_as("time", F.col("s"))) == [32700.0, 1.0, 45000.0, 86399.5, None, None, None]
+    frame = spark.createDataFrame([("2 yrs 3 mos",), ("-1 day 2 hours",), ("5",), ("3 parsecs",), ("1 wk 30 secs",)], "s string")
+    assert [x and (x.months, x.seconds) for x in values(frame, dates.parse_as("interval", F.col("s")))] == [(27, 0.0), (0, -79200.0), None, None, (0, 604830.0)]
+    with pytest.raises(ValueError):
+        dates.parse_as("money", F.col("s"))
+
+
+def test_display_formats(spark):
+    frame = spark.createDataFrame([(12.345, "abcdef"), (-98765.4, "x")], "v double, s string")
+    assert values(frame, S.display(F.col("v"), "f7.1")) == ["   12.3", "*******"]
+    assert values(frame, S.display(F.col("v"), "i6")) == ["    12", "-98765"]
+    assert values(frame, S.display(F.col("s"), "c3")) == ["abc", "x  "]
+    assert values(frame, S.display(F.col("v"), "e10.2")) == ["  1.23e+01", " -9.88e+04"]
+    with pytest.raises(ValueError):
+        S.display(F.col("v"), "q3")
+
+
 def test_dates_that_are_none(spark):
     frame = spark.createDataFrame([("",), ("31-feb-1991",), ("nonsense",), (None,)], "s string")
     assert values(frame, dates.parse_date(F.col("s"))) == [None] * 4
@@ -157,6 +183,8 @@ def test_ambiguous_update(spark):
     source = spark.createDataFrame([(1, "x"), (None, "y")], "k int, w string")
     out = dml.update_from(target, source, {"k": "k"}, {"v": F.upper("w")})
     assert sorted(out.collect(), key=repr) == sorted(spark.createDataFrame([(1, "X"), (2, "b"), (None, "c")], "k int, v string").collect(), key=repr)
+    strange = spark.createDataFrame([(9, "x"), (9, "y")], "k int, w string")
+    assert dml.update_from(target, source.union(strange), {"k": "k"}, {"v": F.upper("w")}).count() == 3  # they meet no target row
     with pytest.raises(Exception, match="ambiguous update"):
         dml.update_from(target, source.union(source), {"k": "k"}, {"v": F.col("w")}).collect()
 
@@ -176,9 +204,9 @@ def test_running_sum_over_buckets(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("style", ["tab", "csv", "ssv", "colon", "|"])
+@pytest.mark.parametrize("style", [*copy.DELIMITERS, "|"])
 def test_copy_round_trip(spark, tmp_path, style):
-    rows = [(1, "plain", None), (2, 'quote " comma , semi ; end', "x"), (3, "", "y")] if style in ("csv", "ssv") else [(1, "plain", None), (2, "a b", "x"), (3, "", "y")]
+    rows = [(1, "plain", None), (2, 'quote " comma , semi ; end', "x"), (3, "", "y")] if style in ("csv", "ssv") else [(1, "plain", None), (2, "ab", "x"), (3, "", "y")]
     frame = spark.createDataFrame(rows, "k int, s string, n string")
     fields = [copy.Field("k", "int"), copy.Field("s"), copy.Field("n", null="NONE")]
     copy.copy_into(frame, str(tmp_path / "f"), fields, style)
@@ -199,20 +227,93 @@ def test_copy_refuses_null_without_a_text(spark, tmp_path):
         copy.delimiter("no such")
 
 
+CHANGE = "k int, type string, priority int, changed_at int, source int, transaction int, sequence int, v string"
+
+
 def test_change_errors_go_aside(spark, tmp_path):
-    schema = "k int, type string, priority int, changed_at int, source int, transaction int, sequence int, v string"
-    batch = spark.createDataFrame([(1, "I", 0, 1, 0, 1, 1, "a"), (1, "U", 0, 2, 1, 2, 2, "b"), (None, "I", 0, 3, 0, 1, 3, "c"), (2, "?", 0, 4, 0, 3, 4, "d")], schema)
+    batch = spark.createDataFrame([(1, "I", 0, 1, 0, 1, 1, "a"), (1, "U", 0, 2, 1, 2, 2, "b"), (None, "I", 0, 3, 0, 1, 3, "c"), (2, "?", 0, 4, 0, 3, 4, "d"), (3, "I", 0, 5, 0, 4, 5, "e")], CHANGE)
     path = str(tmp_path / "out")
     for _ in range(2):  # a repeated batch replaces itself
-        changes.batch_writer(path, ["k"], ["v"], "last_write")(batch, 0)
-    assert [(r.k, r.v) for r in spark.read.parquet(path).collect()] == [(1, "b")]
-    assert spark.read.parquet(path + "_errors").count() == 2
-    changes.batch_writer(path + "2", ["k"], ["v"], "passive", "skip_transaction")(batch, 0)
-    assert [(r.k, r.v) for r in spark.read.parquet(path + "2").collect()] == [(1, "b")]
+        changes.batch_writer(path, ["k"], ["v"], "last_write", "skip_row")(batch, 0)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "b"), (3, "e")]
+    assert sorted(r.reason for r in spark.read.parquet(path + "_errors").collect()) == ["malformed"] * 2
+    # the insert goes with its transaction, so the update has no row any more
+    changes.batch_writer(path + "2", ["k"], ["v"], "active")(batch, 0)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path + "2").collect()) == [(3, "e")]
+    assert sorted(r.reason for r in spark.read.parquet(path + "2_errors").collect()) == ["collision", "malformed", "malformed", "transaction"]
+    for mode in ("quiet_cdds", "quiet_database", "quiet_server"):
+        with pytest.raises(changes.Quieted):
+            changes.batch_writer(path + mode, ["k"], ["v"], "last_write", mode)(batch, 0)
+    changes.batch_writer(path + "4", ["k"], ["v"], "last_write", "quiet_cdds")(batch.where("k = 3"), 1)
     with pytest.raises(ValueError):
-        changes.batch_writer(path + "3", ["k"], ["v"], "last_write", "quiet")(batch, 0)
+        changes.resolve(None, batch, ["k"], "no mode")
     with pytest.raises(ValueError):
-        changes.winners(batch, ["k"], "no mode")
+        changes.split_errors(batch, ["k"], "active", "no mode")
+
+
+def plain_outcomes(there, rows, mode):
+    """One change after another, as the modes are described: (outcomes by row number, keys and values in the end)."""
+    state = {k: (source, transaction, sequence, v) for k, (_, _, source, transaction, sequence, v) in there.items()}
+    out = {}
+    for n, (k, kind, _, _, source, transaction, sequence, v) in sorted(enumerate(rows), key=lambda x: (x[1][3], *x[1][4:7])):
+        row = state.get(k)
+        repeat = mode == "benign" and row and row[:2] == (source, transaction) and (kind == "I" or kind == "U" and row[2] == sequence)
+        if repeat:
+            out[n] = "benign"
+        elif kind == "I" and row or kind == "D" and not row or kind == "U" and not row and mode != "passive":
+            out[n] = "error"
+        elif kind == "U" and not row:
+            out[n] = "dropped"
+        else:
+            out[n] = "applied"
+            if kind == "D":
+                del state[k]
+            else:
+                state[k] = (source, transaction, sequence, v)
+    return out, {k: x[3] for k, x in state.items()}
+
+
+def plain_resolution(there, rows, mode):
+    """Keys and values after the last change of each source has met the others, and the target's row."""
+    out = {}
+    rank = (lambda c: c[2] or 0) if mode == "priority" else (lambda c: c[3])
+    for k in {r[0] for r in rows} | there.keys():
+        last = {}
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[5:7]):
+            last[r[4]] = r
+        best = min(last.values(), key=lambda r: (-rank(r), r[4]), default=None)
+        old = there.get(k)
+        if best and old and old[2] not in last:
+            mine = (old[0] or 0) if mode == "priority" else old[1]
+            if not (mode == "last_write" and best[1] == "D") and (rank(best), -best[4]) <= (mine, -old[2]):
+                best = None
+        if best:
+            if best[1] != "D":
+                out[k] = best[7]
+        elif old:
+            out[k] = old[5]
+    return out
+
+
+@pytest.mark.parametrize("mode", changes.DETECTING + changes.RESOLVING)
+def test_collision_modes_one_change_after_another(spark, mode):
+    rng = random.Random(mode)
+    there = {k: (rng.choice([None, 1, 2]), rng.randrange(20), rng.randrange(4), 0, 0, f"old{k}") for k in range(0, 40, 2)}
+    rows = []
+    for n in range(400):
+        rows.append((rng.randrange(40), rng.choice("IUD"), rng.choice([None, 0, 1, 2, 3]), rng.randrange(20), rng.randrange(3), n // 3, n, f"v{n}"))
+    if mode == "benign":
+        rows += [r for r in rows if rng.random() < 0.3]
+    target = spark.createDataFrame([(k, *x) for k, x in there.items()], "k int, priority int, changed_at int, source int, transaction int, sequence int, v string")
+    resolved = changes.resolve(target, spark.createDataFrame(rows, CHANGE).repartition(3), ["k"], mode).collect()
+    assert len(resolved) == len(rows)
+    final = changes.apply_resolved(target.select("k", "v"), spark.createDataFrame(resolved, CHANGE + ", outcome string"), ["k"], ["v"])
+    if mode in changes.DETECTING:
+        want, _ = plain_outcomes(there, rows, mode)
+        assert sorted((r.sequence, r.outcome) for r in resolved) == sorted((rows[n][6], x) for n, x in want.items())
+        assert {x for _, x in want.items()} == {"passive": {"applied", "error", "dropped"}, "active": {"applied", "error"}, "benign": {"applied", "error", "benign"}}[mode]
+    else:
+        assert {r.k: r.v for r in final.collect()} == plain_resolution(there, rows, mode)
 
 
 def test_registry(spark):
@@ -229,3 +330,30 @@ def test_cursor_and_session_facts(spark):
     batches = list(fetch(spark.range(0, 25, 1, 3), 10))
     assert [len(b) for b in batches] == [10, 10, 5] and [r.id for b in batches for r in b] == list(range(25))
     assert dbmsinfo(spark, "_VERSION") == spark.version and dbmsinfo(spark, "nothing") == ""
+
+
+@pytest.mark.parametrize("name, node", [("hash_join_hint", "ShuffledHashJoin"), ("merge_join_hint", "SortMergeJoin")])
+def test_hinted_joins_are_planned(spark, small, name, node):
+    from tidewheel import plans
+
+    assert node in plans.QUERIES[name](spark, small)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_cut_off_records(spark, tmp_path):
+    (tmp_path / "f").write_text("1\na\n2\n")
+    with pytest.raises(Exception, match="fewer than 2 lines"):
+        copy.copy_from(spark, str(tmp_path / "f"), [copy.Field("k", "int"), copy.Field("s")], "nl").collect()
+    with pytest.raises(Exception, match="line break"):
+        copy.copy_into(spark.createDataFrame([("a\nb",)], "s string"), str(tmp_path / "g"), [copy.Field("s")], "nl")
+
+
+def test_runs_leave_nothing_behind(spark, small):
+    import os
+
+    from tidewheel import plans, scratch
+
+    with scratch.run(spark) as folder:
+        assert plans.QUERIES["copy_roundtrip_tab"](spark, small).count() > 0
+        place = folder.removeprefix("file:").replace("//", "/")
+        assert os.listdir(place)
+    assert not os.path.exists(place)

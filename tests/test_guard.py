@@ -24,3 +24,15 @@ def test_nothing_else_imports_the_subpackage():
             if name.endswith(".py"):
                 text = open(os.path.join(folder, name)).read()
                 assert not re.search(r"tidewheel[.]llm|from tidewheel import.*llm", text), name
+
+
+def test_queries_without_spark_defaults(tmp_path):
+    code = """
+from tidewheel.session import session
+from tidewheel import plans
+spark = session("bare", "local[2]", 2)
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+print(plans.QUERIES["copy_roundtrip_csv"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_") or k == "SPARK_HOME"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**env, "PYTHONPATH": ROOT, "SPARK_CONF_DIR": str(tmp_path)}, check=True, timeout=120)
