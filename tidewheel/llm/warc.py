@@ -43,6 +43,8 @@ from tidewheel.llm.shared import Scratch
 
 END = "\r\n\r\n"
 FILE_BYTES = 32 << 20
+#: Of compression; most of what a higher one costs buys little on records this small.
+LEVEL = 3
 #: A gzip member of fewer bytes than this has a length whose last byte is zero.
 MEMBER_BYTES = 1 << 24
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,7 +116,7 @@ def member(record: bytes) -> bytes:
     """A record as one gzip member; as several, where one would be too long for the separator."""
     out = []
     for at in range(0, len(record), MEMBER_BYTES - 1):
-        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         out += [pack.compress(record[at : at + MEMBER_BYTES - 1]), pack.flush()]
     return b"".join(out)
 
