@@ -13,13 +13,15 @@ documents linked over any number of links are one component. No link is lost:
 * Then all other pairs of a key are candidates, unless already in one component, or
   excluded by their sizes or by the shingle's places in both (positional filter). A
   key of more than `block` members is cut into blocks, each pair a group of its own.
-* A candidate's sketches are compared first: a sketch counts a set's shingles in
-  buckets of their hash, so the differences of two sketches add up to no more than the
-  sets differ; pairs whose sketches differ by more than linked sets can are no links.
+* A candidate's sketches are compared first: a sketch has the parity of a set's shingles
+  in buckets of their hash ("odd sketch"), so two sketches have no more different bits than
+  the sets differ in shingles; pairs whose sketches differ by more are no links. In a key
+  of more than `crowd` members the sketches come along with the members and are compared
+  in the block, so that only pairs that may be links leave it.
 * Every other candidate counts only by its similarity, taken from the whole sets.
 
-Pairs that are not linked, but share a rare shingle and have like sizes, are compared
-one by one, nearly all of them by their sketches alone.
+Members of one key that are half alike are compared by their sketches alone, block by
+block: split over tasks, and no rows, but n * n / 2 comparisons for n such members.
 
 Defined cases: null texts and texts without words are one set with one empty shingle;
 equal texts are one entry; ids as in simhash; empty tables give no rows.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ SAMPLE, SEEN, FREQUENT = 2, 2, 1 << 20
 PIVOTS = 2
 #: Keys of more members have pivots first; texts up to this number are sought by broadcast (8 bytes each).
 CROWD, BROADCAST_TEXTS = 64, 1_000_000
+#: Shingles of a block's members on average, each half a byte of their sketches at most.
+BLOCK_SHINGLES = 1 << 26
 
 
 def shingles_of(words: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +70,35 @@ def distinct_of(h: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sketches(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Counts of each document's hashes in buckets of their top bits, 2 to 4 hashes a bucket; 255 is 255 or more."""
-    bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 2, 3)
-    begin = np.concatenate([[0], np.cumsum(1 << bits)])
-    bucket = begin[owner] + (h >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
-    counts = np.minimum(np.bincount(bucket, minlength=int(begin[-1])), 255).astype(np.uint8)
-    return [counts[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-
-
-def apart(x: bytes, y: bytes) -> int:
-    """A number that two sets differ by at least, from their sketches."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int16), np.frombuffer(y, np.uint8).astype(np.int16)
-    while len(a) > len(b):
-        a = np.minimum(a[::2] + a[1::2], 255)
-    while len(b) > len(a):
-        b = np.minimum(b[::2] + b[1::2], 255)
-    return int(np.abs(a - b).sum())
+    """Parities of each document's hashes in buckets of their low bits, 2 to 4 buckets a hash (64 at least)."""
+    size = 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    bucket = 64 * begin[owner] + (h & (64 * size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=64 * int(begin[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[8 * a : 8 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+class Sketches:
+    """A column of sketches, compared by row numbers; the longer of two is folded to the length of the other."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray) -> None:
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy() // 8
+        self.words = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint64)
+        self.at, self.size = np.cumsum(sizes) - sizes, sizes
+
+    def apart(self, x: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Numbers that the sets of rows x and y differ by at least."""
+        x, y = np.where(self.size[x] >= self.size[y], x, y), np.where(self.size[x] >= self.size[y], y, x)
+        wide, narrow = self.size[x], self.size[y]
+        out = np.zeros(len(x), np.int64)
+        for w, v in np.unique(np.stack([wide, narrow], 1), axis=0).tolist() if len(x) else []:
+            rows = np.flatnonzero((wide == w) & (narrow == v))
+            for some in np.split(rows, range(max(1, most // w), len(rows), max(1, most // w))) if v else []:
+                a = self.words[self.at[x[some], None] + np.arange(w)].reshape(-1, w // v, v)
+                b = self.words[self.at[y[some], None] + np.arange(v)]
+                out[some] = np.bitwise_count(np.bitwise_xor.reduce(a, axis=1) ^ b).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _text(docs: DataFrame, text_col: str) -> DataFrame:
@@ -170,8 +188,9 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sketches allow the similarity: sets of n and m may differ by a ninth of n + m."""
     for batch in batches:
         most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (OVER + UNDER)
-        ok = [apart(x.as_py(), y.as_py()) <= limit for x, y, limit in zip(batch.column(4), batch.column(5), most.tolist())]
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        both = Sketches(pa.chunked_array([batch.column(4), batch.column(5)]))
+        rows = np.arange(batch.num_rows)
+        yield batch.select([0, 1]).filter(pa.array(both.apart(rows, rows + batch.num_rows) <= most))
 
 
 def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
@@ -195,9 +214,13 @@ def fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarr
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of whole groups, which arrive sorted by key, i, j and n; members of one component are no candidates."""
+    """Candidates (a, b) of whole groups, which arrive sorted by key, i, j and n.
+
+    Members of one component are no candidates, nor are pairs whose sketches, if they came along, are too far apart.
+    """
     for t in _groups(batches):
         key, i, j, side, node, n, place, label = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "t", "n", "place", "label"))
+        sketched = Sketches(t.column("sketch"))
         head = np.ones(t.num_rows, bool)
         head[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         stop = np.append(np.flatnonzero(head)[1:], t.num_rows)[np.cumsum(head) - 1]
@@ -207,7 +230,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[p
             live = live[UNDER * n[live] >= OVER * n[live + step]]  # sizes ascend: no later one fits either
             x, y = live, live + step
             use = (label[x] != label[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & fits(n[x], n[y], place[x], place[y])
-            x, y = node[x[use]], node[y[use]]
+            x, y = x[use], y[use]
+            near = sketched.apart(x, y) <= (n[x] + n[y]) // (OVER + UNDER)
+            x, y = node[x[near]], node[y[near]]
             out.append((np.minimum(x, y), np.maximum(x, y)))
             held += len(x)
             step += 1
@@ -261,8 +286,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     links = [_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), sketched, docs, scratch, text_col)]
 
     keyed = nodes.select("t", "n", F.posexplode("prefix").alias("place", "key"))
-    sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
-    member = scratch.keep(keyed.join(sizes, "key").select("key", "t", "n", "place", "members"), "members")
+    sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "keys")
+    member = scratch.keep(keyed.join(sizes, "key").select("key", "t", "n", "place", "members", "shingles"), "members")
     scratch.drop(sizes)
     found = _labels(links, scratch)
     for seed in range(pivots):
@@ -279,10 +304,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
 
     now = scratch.keep(_labelled(member, found), "labelled")
     mixed = scratch.keep(now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(F.col("key").alias("key_")), "mixed")
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    now = scratch.keep(now.join(mixed, F.col("key") == F.col("key_"), "left_semi"), "mixed-members")
+    few = now.where(F.col("members") <= crowd).withColumn("sketch", F.lit(None).cast("binary"))
+    many = now.where(F.col("members") > crowd).join(sketched.select(F.col("t").alias("t_"), "sketch"), F.col("t") == F.col("t_")).drop("t_")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("t"), blocks).cast("int")
-    dealt = now.join(mixed, F.col("key") == F.col("key_"), "left_semi").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label")
+    dealt = few.unionByName(many).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label", "sketch")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "t").mapInArrow(_pairs, "a long, b long").distinct()
     links.append(_confirmed(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col))
     return _labels(links, scratch)
