@@ -263,11 +263,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _labels(links: list[DataFrame], scratch: Scratch) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    return scratch.keep(components(edges, scratch), "components")
+def _labels(links: DataFrame, scratch: Scratch, found: DataFrame | None = None) -> DataFrame:
+    """Components of the links and of those found before, which stand in as stars."""
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return scratch.keep(components(links, scratch), "components")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -283,23 +283,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     near = simhash.links(distinct.select("fp"), scratch).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     near = near.join(one, F.col("x") == F.col("fp1")).join(two, F.col("y") == F.col("fp2")).select("a", "b")
     equal = nodes.join(distinct.select(F.col("fp").alias("fp_"), F.col("first").alias("a")), F.col("fp") == F.col("fp_")).where("a <> t").select("a", F.col("t").alias("b"))
-    links = [_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), sketched, docs, scratch, text_col)]
+    found = _labels(_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), sketched, docs, scratch, text_col), scratch)
 
     keyed = nodes.select("t", "n", F.posexplode("prefix").alias("place", "key"))
     sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "keys")
     member = scratch.keep(keyed.join(sizes, "key").select("key", "t", "n", "place", "members", "shingles"), "members")
     scratch.drop(sizes)
-    found = _labels(links, scratch)
     for seed in range(pivots):
         now = scratch.keep(_labelled(member.where(F.col("members") > crowd), found), "labelled")
         pivot = scratch.keep(now.groupBy("key").agg(F.min(F.struct(F.xxhash64("t", F.lit(seed)).alias("h"), F.col("t").alias("a"), F.col("n").alias("m"), F.col("label").alias("own"), F.col("place").alias("q"))).alias("p"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(F.col("key").alias("key_"), "p.a", "p.m", "p.own", "p.q"), "pivots")
         most = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
         near_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & ((OVER + UNDER) * most >= OVER * (F.col("n") + F.col("m")))
         pairs = now.join(pivot, F.col("key") == F.col("key_")).where((F.col("label") != F.col("own")) & near_size).select("a", F.col("t").alias("b")).distinct()
-        more = _confirmed(scratch.keep(pairs, "pivot-pairs"), sketched, docs, scratch, text_col)
+        pairs = scratch.keep(pairs, "pivot-pairs")
+        if pairs.isEmpty():
+            break
+        more = _confirmed(pairs, sketched, docs, scratch, text_col)
         if not more.isEmpty():
-            links.append(more)
-            found = _labels(links, scratch)
+            found = _labels(more, scratch, found)
         scratch.drop(now, pivot)
 
     now = scratch.keep(_labelled(member, found), "labelled")
@@ -312,8 +313,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     dealt = few.unionByName(many).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label", "sketch")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "t").mapInArrow(_pairs, "a long, b long").distinct()
-    links.append(_confirmed(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col))
-    return _labels(links, scratch)
+    return _labels(_confirmed(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col), scratch, found)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
