@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -54,6 +56,26 @@ def near_copies():
     return rows
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for size in (1, 2, 31, 33, 63, 65, 200, 900, 2000)]
+    for own in list(sets):
+        for part in (3, 9, 40):
+            other = own.copy()
+            other[: len(own) // part] = rng.integers(0, 2**63, len(own) // part, dtype=np.uint64)
+            sets.append(np.unique(other[: max(len(own) - rng.integers(3), 1)]))
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column = pa.array([*similar.sketches(np.concatenate(sets), owner, np.bincount(owner)), None], pa.binary())
+    x, y = np.triu_indices(len(sets))
+    for most in (1, 64, 1 << 20):
+        found = similar.Sketches(column).apart(x, y, most)
+        real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
+        assert (found <= real).all()
+        near = (real > 20) & (9 * real < 2 * np.array([len(sets[a]) + len(sets[b]) for a, b in zip(x, y)]))
+        assert near.any() and (found[near] > 0.6 * real[near]).all()
+    assert similar.Sketches(column).apart(np.array([0]), np.array([len(sets)])).tolist() == [0]
+
+
 @pytest.mark.parametrize("options", [{"crowd": 2}, {"block": 3, "pivots": 0}])
 def test_near_copies_against_all_pairs(spark, options):
     rows = near_copies()
