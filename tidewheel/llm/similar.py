@@ -8,7 +8,7 @@ documents linked over any number of links are one component. No link is lost:
   documents come last; a count moves the cost, and any order gives the same links. In
   that order, two linked sets share one of the n - ceil(0.8 n) + 1 first shingles
   (prefix filter), so each of these is a key.
-* First, SimHash links (radius 2) and a few members of each crowded key (pivots) give
+* First, SimHash links (radius 2), and a few members of each crowded key (pivots) with all others, give
   candidates, a number in proportion to the rows. Most of a large group is one component from then on.
 * Then all other pairs of a key are candidates, unless already in one component, or
   excluded by their sizes or by the shingle's places in both (positional filter). A
@@ -17,7 +17,8 @@ documents linked over any number of links are one component. No link is lost:
   in buckets of their hash ("odd sketch"), so two sketches have no more different bits than
   the sets differ in shingles; pairs whose sketches differ by more are no links. In a key
   of more than `crowd` members the sketches come along with the members and are compared
-  in the block, so that only pairs that may be links leave it.
+  in the block, so that only pairs that may be links leave it. So do the shingles before the
+  key's own in each member's order: of all keys that a pair shares, only the first gives it.
 * Every other candidate counts only by its similarity, taken from the whole sets.
 
 Members of one key that are half alike are compared by their sketches alone, block by
@@ -193,8 +194,11 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(both.apart(rows, rows + batch.num_rows) <= most))
 
 
-def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets are alike; sketches and sets of b travel with their pairs, so a may be a hot key."""
+def _labels(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, scratch: Scratch, text_col: str, found: DataFrame | None = None) -> DataFrame:
+    """Components of the pairs (a, b) whose sets are alike, and of those found before, which stand in as stars.
+
+    Sketches and sets of b travel with their pairs, so a may be a hot key.
+    """
     left, right = (sketched.select(F.col("t").alias(f"{c}_"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     wide = pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).select("a", "b", "n_a", "n_b", "s_a", "s_b")
     pairs = scratch.keep(wide.mapInArrow(_possible, "a long, b long"), "possible")
@@ -202,7 +206,10 @@ def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, scratch:
     right = pairs.join(sets, pairs.b == sets.t).select("a", "b", F.col("found").alias("y"))
     right = scratch.keep(right, "pairs-with-sets")
     left = sets.select(F.col("t").alias("t_"), F.col("found").alias("x"))
-    out = scratch.keep(right.join(left, right.a == left.t_).select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
+    links = right.join(left, right.a == left.t_).select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    out = scratch.keep(components(links, scratch), "components")
     scratch.drop(right, sets)
     return out
 
@@ -213,10 +220,26 @@ def fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarr
     return (UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
 
 
+def _met_before(heads: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether the lists of rows x and y have a value in common."""
+    size = pc.fill_null(pc.list_value_length(heads), 0).to_numpy()
+    begin, value = np.cumsum(size) - size, pc.list_flatten(heads).to_numpy()
+    out, cost = np.zeros(len(x), bool), np.cumsum(size[x] + size[y])
+    cuts = np.searchsorted(cost, np.arange(most, cost[-1] + 1, most)) if len(x) else []
+    for some in np.split(np.arange(len(x)), cuts):
+        pair = np.concatenate([np.repeat(some, size[x[some]]), np.repeat(some, size[y[some]])])
+        both = value[np.concatenate([spread(begin[x[some]], size[x[some]]), spread(begin[y[some]], size[y[some]])])]
+        order = np.lexsort((both, pair))
+        both, pair = both[order], pair[order]
+        out[pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])]] = True
+    return out
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b) of whole groups, which arrive sorted by key, i, j and n.
 
-    Members of one component are no candidates, nor are pairs whose sketches, if they came along, are too far apart.
+    Members of one component are no candidates, nor are pairs whose sketches, if they came along, are too far apart,
+    or that an earlier key gives, by the shingles (head) that came along.
     """
     for t in _groups(batches):
         key, i, j, side, node, n, place, label = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "t", "n", "place", "label"))
@@ -232,7 +255,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[p
             use = (label[x] != label[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & fits(n[x], n[y], place[x], place[y])
             x, y = x[use], y[use]
             near = sketched.apart(x, y) <= (n[x] + n[y]) // (OVER + UNDER)
-            x, y = node[x[near]], node[y[near]]
+            x, y = x[near], y[near]
+            first = ~_met_before(t.column("head"), x, y)
+            x, y = node[x[first]], node[y[first]]
             out.append((np.minimum(x, y), np.maximum(x, y)))
             held += len(x)
             step += 1
@@ -263,13 +288,6 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _labels(links: DataFrame, scratch: Scratch, found: DataFrame | None = None) -> DataFrame:
-    """Components of the links and of those found before, which stand in as stars."""
-    if found is not None:
-        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return scratch.keep(components(links, scratch), "components")
-
-
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, rows.t == found.node, "left").withColumn("label", F.coalesce("component", "t")).drop("node", "component")
 
@@ -283,37 +301,35 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     near = simhash.links(distinct.select("fp"), scratch).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     near = near.join(one, F.col("x") == F.col("fp1")).join(two, F.col("y") == F.col("fp2")).select("a", "b")
     equal = nodes.join(distinct.select(F.col("fp").alias("fp_"), F.col("first").alias("a")), F.col("fp") == F.col("fp_")).where("a <> t").select("a", F.col("t").alias("b"))
-    found = _labels(_confirmed(scratch.keep(near.unionByName(equal), "simhash-pairs"), sketched, docs, scratch, text_col), scratch)
 
     keyed = nodes.select("t", "n", F.posexplode("prefix").alias("place", "key"))
     sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "keys")
     member = scratch.keep(keyed.join(sizes, "key").select("key", "t", "n", "place", "members", "shingles"), "members")
     scratch.drop(sizes)
-    for seed in range(pivots):
-        now = scratch.keep(_labelled(member.where(F.col("members") > crowd), found), "labelled")
-        pivot = scratch.keep(now.groupBy("key").agg(F.min(F.struct(F.xxhash64("t", F.lit(seed)).alias("h"), F.col("t").alias("a"), F.col("n").alias("m"), F.col("label").alias("own"), F.col("place").alias("q"))).alias("p"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(F.col("key").alias("key_"), "p.a", "p.m", "p.own", "p.q"), "pivots")
+    first = near.unionByName(equal)
+    if pivots:
+        crowded = member.where(F.col("members") > crowd)
+        least = [F.min(F.struct(F.xxhash64("t", F.lit(seed)).alias("h"), F.col("t").alias("a"), F.col("n").alias("m"), F.col("place").alias("q"))) for seed in range(pivots)]
+        pivot = crowded.groupBy("key").agg(F.array(*least).alias("p")).select(F.col("key").alias("key_"), F.explode("p").alias("p"))
+        pivot = scratch.keep(pivot.select("key_", "p.a", "p.m", "p.q"), "pivots")
         most = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
         near_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & ((OVER + UNDER) * most >= OVER * (F.col("n") + F.col("m")))
-        pairs = now.join(pivot, F.col("key") == F.col("key_")).where((F.col("label") != F.col("own")) & near_size).select("a", F.col("t").alias("b")).distinct()
-        pairs = scratch.keep(pairs, "pivot-pairs")
-        if pairs.isEmpty():
-            break
-        more = _confirmed(pairs, sketched, docs, scratch, text_col)
-        if not more.isEmpty():
-            found = _labels(more, scratch, found)
-        scratch.drop(now, pivot)
+        first = first.unionByName(crowded.join(pivot, F.col("key") == F.col("key_")).where((F.col("t") != F.col("a")) & near_size).select("a", F.col("t").alias("b")))
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _labels(scratch.keep(first, "first-pairs"), sketched, docs, scratch, text_col)
 
     now = scratch.keep(_labelled(member, found), "labelled")
     mixed = scratch.keep(now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(F.col("key").alias("key_")), "mixed")
     now = scratch.keep(now.join(mixed, F.col("key") == F.col("key_"), "left_semi"), "mixed-members")
-    few = now.where(F.col("members") <= crowd).withColumn("sketch", F.lit(None).cast("binary"))
-    many = now.where(F.col("members") > crowd).join(sketched.select(F.col("t").alias("t_"), "sketch"), F.col("t") == F.col("t_")).drop("t_")
+    few = now.where(F.col("members") <= crowd).withColumns({"sketch": F.lit(None).cast("binary"), "head": F.lit(None).cast("array<long>")})
+    many = now.where(F.col("members") > crowd).join(nodes.select(F.col("t").alias("t_"), "sketch", "prefix"), F.col("t") == F.col("t_"))
+    many = many.withColumn("head", F.slice("prefix", 1, F.col("place"))).drop("t_", "prefix")
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("t"), blocks).cast("int")
     dealt = few.unionByName(many).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "t", "n", "place", "label", "sketch", "head")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "t").mapInArrow(_pairs, "a long, b long").distinct()
-    return _labels(_confirmed(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col), scratch, found)
+    return _labels(scratch.keep(pairs, "pairs"), sketched, docs, scratch, text_col, found)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
