@@ -322,7 +322,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col
     mixed = scratch.keep(now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(F.col("key").alias("key_")), "mixed")
     now = scratch.keep(now.join(mixed, F.col("key") == F.col("key_"), "left_semi"), "mixed-members")
     few = now.where(F.col("members") <= crowd).withColumns({"sketch": F.lit(None).cast("binary"), "head": F.lit(None).cast("array<long>")})
-    many = now.where(F.col("members") > crowd).join(nodes.select(F.col("t").alias("t_"), "sketch", "prefix"), F.col("t") == F.col("t_"))
+    many = scratch.keep(now.where(F.col("members") > crowd), "crowded-members")  # its size is known, so texts are shuffled for many members only
+    many = many.join(nodes.select(F.col("t").alias("t_"), "sketch", "prefix"), F.col("t") == F.col("t_"))
     many = many.withColumn("head", F.slice("prefix", 1, F.col("place"))).drop("t_", "prefix")
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("t"), blocks).cast("int")
