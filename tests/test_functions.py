@@ -143,6 +143,15 @@ def test_dates_that_are_none(spark):
     assert values(frame, dates.parse_date(F.col("s"))) == [None] * 4
 
 
+def test_gmt_of_far_years(spark):
+    seconds = [0, -1, 253402300799, 253402300800, 518400000000, -62101036800, -62135596801, -62167219201, None]
+    frame = spark.createDataFrame([(s,) for s in seconds], "s long")
+    shown = ["1970_01_01 00:00:00", "1969_12_31 23:59:59", "9999_12_31 23:59:59", "10000_01_01 00:00:00", "18397_06_11 00:00:00", "0002_02_05 00:00:00", "0000_12_31 23:59:59", "-1_12_31 23:59:59"]
+    expected = [f"{x} GMT" for x in shown] + [None]
+    assert values(frame, dates.gmt_timestamp(F.col("s"))) == expected
+    assert values(frame, dates.date_gmt(F.timestamp_seconds("s").cast("timestamp_ntz"))) == expected
+
+
 def test_names_of_months_and_days(spark):
     frame = spark.createDataFrame([("feb", "mon"), ("MAY", "Sunday"), ("7", "x"), ("13", None)], "m string, d string")
     assert values(frame, dates.month_number(F.col("m"))) == [2, 5, 7, None]

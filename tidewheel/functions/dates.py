@@ -157,13 +157,22 @@ def date_kind(column: str, intervals: str) -> Column:
     return F.when(F.col(column).isNotNull(), 1).when(F.col(intervals).isNotNull(), 2).otherwise(0)
 
 
+def _gmt(time: Column) -> Column:
+    """The text by its parts: a formatted year beyond 9999 would begin with a plus sign, and one before 1 would count backwards."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    year = F.year(time)
+    shown = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    day, clock = F.concat_ws("_", two(F.month(time)), two(F.day(time))), F.concat_ws(":", two(F.hour(time)), two(F.minute(time)), two(F.second(time)))
+    return F.concat(shown, F.lit("_"), day, F.lit(" "), clock, F.lit(" GMT"))
+
+
 def date_gmt(column: Column, zone: str = "UTC") -> Column:
-    """'yyyy_MM_dd HH:mm:ss GMT' of a local time of the zone."""
-    return F.concat(F.date_format(F.convert_timezone(F.lit(zone), F.lit("UTC"), column), "yyyy_MM_dd HH:mm:ss"), F.lit(" GMT"))
+    """'yyyy_MM_dd HH:mm:ss GMT' of a local time of the zone; a year of more digits is written as it is."""
+    return _gmt(F.convert_timezone(F.lit(zone), F.lit("UTC"), column))
 
 
 def gmt_timestamp(seconds: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy_MM_dd HH:mm:ss"), F.lit(" GMT"))
+    return _gmt(F.timestamp_seconds(seconds))
 
 
 def components(seconds: Column) -> Column:
