@@ -164,6 +164,25 @@ def test_geometry(spark):
     assert tuple(row) == (16.0, 16.0, True, False, None)
 
 
+def test_geometry_of_odd_paths(spark):
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    rows = [([p(0, 0), p(3, 4), p(3, 0)],), ([p(1, 2)],), ([],), (None,), ([p(0, 0), None, p(3, 0)],), ([p(0, 0), p(6, 0), p(6, 6), p(3, 1), p(0, 6)],)]
+    frame = spark.createDataFrame(rows, "g array<struct<x:double,y:double>>")
+    g = F.col("g")
+    assert values(frame, S.path_length(g))[:5] == [9.0, 0.0, 0.0, 0.0, None]
+    assert values(frame, S.perimeter(g))[:5] == [12.0, 0.0, 0.0, 0.0, None]
+    assert values(frame, S.area(g)) == [6.0, 0.0, 0.0, 0.0, None, 21.0]
+    assert values(frame, S.inside(S.pair(F.lit(2), F.lit(1)), g)) == [True, False, False, False, False, True]
+    assert values(frame, S.inside(S.pair(F.lit(3), F.lit(4)), g)) == [False] * 6
+    assert values(frame, S.inside(F.lit(None).cast("struct<x:double,y:double>"), g)) == [False] * 6
+
+
+@pytest.mark.parametrize("function", [S.path_length, S.perimeter, S.area, lambda g: S.inside(S.pair(F.lit(1), F.lit(1)), g)])
+def test_geometry_makes_its_polygon_once(spark, function):
+    frame = spark.createDataFrame([], "g array<struct<x:double,y:double>>")
+    assert frame.select(function(F.reverse("g")).alias("f"))._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+
+
 def test_nulls_sort_high(spark):
     frame = spark.createDataFrame([(2,), (None,), (1,)], "k int")
     assert values(ordering.order_by(frame, "k"), "k") == [1, 2, None]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -155,38 +156,53 @@ def midpoint(p: Column, q: Column) -> Column:
 # plane geometry: a path is an array of pairs, a polygon a path that closes by itself
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once for a row: a lambda makes what it mentions of the outside anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _edges(path: Column) -> Column:
     n = F.size(path)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.element_at(path, k).alias("p"), F.element_at(path, k + 1).alias("q")))).otherwise(F.array().cast("array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>>>"))
+    pairs = F.zip_with(path, F.slice(path, 2, F.greatest(n, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))  # the last has no end
+    return F.when(n > 1, F.slice(pairs, 1, n - 1)).otherwise(F.array().cast("array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>>>"))
 
 
 def _closed(polygon: Column) -> Column:
     return F.concat(polygon, F.slice(polygon, 1, 1))
 
 
-def path_length(path: Column) -> Column:
+def _length(path: Column) -> Column:
     return F.aggregate(_edges(path), F.lit(0.0), lambda s, e: s + distance(e["p"], e["q"]))
 
 
+def path_length(path: Column) -> Column:
+    return _once(path, _length)
+
+
 def perimeter(polygon: Column) -> Column:
-    return path_length(_closed(polygon))
+    return _once(polygon, lambda given: _once(_closed(given), _length))
 
 
 def area(polygon: Column) -> Column:
-    twice = F.aggregate(_edges(_closed(polygon)), F.lit(0.0), lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]))
-    return F.abs(twice) / 2
+    def twice(path: Column) -> Column:
+        return F.aggregate(_edges(path), F.lit(0.0), lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]))
+
+    return F.abs(_once(polygon, lambda given: _once(_closed(given), twice))) / 2
 
 
 def inside(point: Column, polygon: Column) -> Column:
     """Whether a ray from the point crosses the border an odd number of times."""
 
-    def crosses(e: Column) -> Column:
+    def crosses(at: Column, e: Column) -> Column:
         p, q = e["p"], e["q"]
-        straddles = (p["y"] > point["y"]) != (q["y"] > point["y"])
-        at = (q["x"] - p["x"]) * (point["y"] - p["y"]) / F.when(q["y"] != p["y"], q["y"] - p["y"]).otherwise(1.0) + p["x"]
-        return straddles & (point["x"] < at)
+        straddles = (p["y"] > at["y"]) != (q["y"] > at["y"])
+        x = (q["x"] - p["x"]) * (at["y"] - p["y"]) / F.when(q["y"] != p["y"], q["y"] - p["y"]).otherwise(1.0) + p["x"]
+        return straddles & (at["x"] < x)
+
+    def odd(at: Column, path: Column) -> Column:
+        return F.size(F.filter(_edges(path), lambda e: crosses(at, e))) % 2 == 1
 
-    return F.size(F.filter(_edges(_closed(polygon)), crosses)) % 2 == 1
+    return _once(point, lambda at: _once(polygon, lambda given: _once(_closed(given), lambda path: odd(at, path))))
 
 
 def boxes_intersect(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Column:
