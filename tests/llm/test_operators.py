@@ -117,6 +117,11 @@ def test_line_dedup_of_odd_rows(spark, odd, empty):
         line_dedup.dedup(odd, min_words=0)
 
 
+def test_line_dedup_joins_texts_alike_at_any_size(spark, odd):
+    plan = line_dedup.dedup(odd)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 # 2 SimHash
 
 

@@ -153,7 +153,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     found = later_runs(texts, scratch, min_words)
     runs = scratch.keep(found.groupBy("d", "t").agg(F.collect_set(F.struct("i", "size")).alias("runs")), "runs")
     own = docs.select(F.struct(*docs.columns).alias("row"), *key)
-    joined = own.join(runs, ["d", "t"], "left").select("row.*", F.col("runs").alias(_free(docs.columns)))
+    # by merging at any size: a broadcast of small runs holds much more than their files, and its end moves all texts at once
+    joined = own.join(runs.hint("merge"), ["d", "t"], "left").select("row.*", F.col("runs").alias(_free(docs.columns)))
     return joined.mapInArrow(_without(docs.columns, text_col, removed_col, lines_col), _schema(docs, removed_col, lines_col))
 
 
