@@ -145,6 +145,12 @@ def test_pieces_fill_sequences(lengths, capacity):
         assert at == capacity or at & (at - 1) == 0  # nothing is padded
 
 
+def test_an_empty_document_has_no_piece():
+    bins = packing.Bins(1024, 0)
+    rows = [x for k, n in enumerate((513, 0, 511)) for x in bins.add(k, np.arange(n, dtype="<u4"))] + list(bins.close())
+    assert [(doc, start, len(ids), sequence, offset) for doc, start, ids, _, sequence, offset in rows] == [(0, 0, 513, 0, 0), (2, 0, 511, 0, 513)]
+
+
 def test_pieces_are_few():
     lengths = np.random.default_rng(4).integers(1, 1500, 5000)
     bins = packing.Bins(1024, 0)

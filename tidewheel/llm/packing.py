@@ -49,7 +49,7 @@ class Bins:
     def add(self, name: int | None, ids: np.ndarray) -> Iterator[tuple]:
         """Take a document; give (name, start, ids, ids of the document, sequence, offset) of the pieces whose bins are full now."""
         n, at = len(ids), 0
-        if self.room:
+        if self.room and n:
             at = min(self.room, n)
             self.gapped.append((name, ids[:at].copy(), 0, n))
             self.room -= at
