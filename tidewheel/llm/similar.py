@@ -102,6 +102,11 @@ class Sketches:
         return out
 
 
+def apart(x: bytes, y: bytes) -> int:
+    """A number that two sets differ by at least, from their sketches."""
+    return int(Sketches(pa.array([x, y], pa.binary())).apart(np.array([0]), np.array([1]))[0])
+
+
 def _text(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
